@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import html_text, packing, simhash, tokencount, warc
+from paceline.llm import embeddings, html_text, packing, simhash, tokencount, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -34,6 +42,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_dedup, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,7 +38,11 @@ class PrefixCounts(dict):
         super().__init__()
         self.most = most
         self.rank, self.added = read_ranks(path)
-        self.longest = max(map(len, self.rank))
+        # Finds the tokens that end at each byte, longest first.
+        self.ending = ahocorasick.Automaton()
+        for token, k in self.rank.items():
+            self.ending.add_word(token.decode("latin-1"), (len(token), k))
+        self.ending.make_automaton()
         self.follows: dict[int, bool] = {}
         self.pieces: dict[bytes, list[int]] = {}
         # How the merges build each token: ids in order of rank, the two parts being the last pair left.
@@ -88,16 +94,18 @@ class PrefixCounts(dict):
         found = self.pieces.get(piece)
         if found is not None:
             return found
-        rank, follow = self.rank.get, self.may_follow
-        last, count = [0] * (len(piece) + 1), [0] * (len(piece) + 1)
-        for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = rank(piece[j:i])
-                if t is not None and (not j or follow(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {i} of {piece[:50]!r}")
+        known, n = self.follows.get, len(piece)
+        last, count, done = [0] * (n + 1), [0] * (n + 1), -1
+        for at, (size, t) in self.ending.iter(piece.decode("latin-1")):
+            if at == done:
+                continue
+            start = at + 1 - size
+            if start:
+                before = last[start]
+                ok = known(before << 20 | t)
+                if not (self.may_follow(before, t) if ok is None else ok):
+                    continue
+            last[at + 1], count[at + 1], done = t, count[start] + 1, at
         if len(self.pieces) >= self.most:
             self.pieces.clear()
         self.pieces[piece] = out = count[1:]
@@ -132,7 +140,7 @@ class PrefixCounts(dict):
             base = self.of_piece(rest)[-1] if rest else 0
             tail = self._fine(" " + body)[1:] if white[-1] == " " else [x + self.of_piece(white[-1].encode())[-1] for x in self._fine(body)]
             out = run + [base + x for x in tail]
-        self[unit] = got = np.array(out, "<u4").tobytes()
+        self[unit] = got = array("I", out).tobytes()
         return got
 
     def ordinary(self, text: str) -> np.ndarray:
