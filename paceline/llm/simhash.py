@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm._spark import mapper, materialise
+from paceline.llm._spark import materialise, slices
 from paceline.llm.components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -42,15 +42,22 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` for every row; fp is the fingerprint's bits as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def with_fingerprint(docs: DataFrame, text_col: str = "text", n: int = 4, name: str = "fp") -> DataFrame:
+    """``docs`` and their fingerprints in column ``name``, the bits as a signed long."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+            fp = np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*part.schema.names, name])
 
-    def make():
-        return lambda ids, texts: [ids, np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64).tolist()]
+    return docs.mapInArrow(run, f"{ddl}, `{name}` long")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(mapper(["doc_id", "text"], make, schema, "text"), "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
+    """``(doc_id, fp)`` for every row."""
+    return with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", n).select("doc_id", "fp")
 
 
 def _merge_links(mine: np.ndarray, other: np.ndarray, offset: int, label: np.ndarray, radius: int, strip: int = 256) -> None:
@@ -147,25 +154,38 @@ def similar_fingerprints(distinct: DataFrame, radius: int = 4, tile: int = 4096)
     return tasks.mapInArrow(compare, "a long, b long")
 
 
+def fingerprint_groups(prints: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
+    """``(fp, head)`` for each different ``fp`` of ``prints``: fingerprints reachable over links have the same head."""
+    distinct = materialise(prints.select("fp").distinct(), "simhash-classes")
+    links = materialise(similar_fingerprints(distinct, radius, tile).distinct(), "simhash-links")
+    found = connected_components(links)
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("head"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, radius: int = 4, tile: int = 4096) -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id)`` for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of ``radius`` bits or fewer.
-    Equal fingerprints meet once, as one row with the smallest doc_id, however many copies there
-    are.  Null and empty texts have fingerprint 0 and link like any other; repeated rows stay
-    repeated; an empty table gives no rows; other columns are left out.
+    Equal fingerprints meet once, however many copies there are.  Null and empty texts have fingerprint 0 and link like
+    any other; repeated rows stay repeated; a null id is never the smallest (a group of null ids alone has a null component_id);
+    an empty table gives no rows; other columns are left out.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, n), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    links = similar_fingerprints(classes.select("fp"), radius, tile)
-    rep = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep"))
-    ends = links.distinct().join(rep("a"), "a").join(rep("b"), "b")
-    found = connected_components(ends, "a_rep", "b_rep")
-    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the smallest id (each of its repeated rows once)."""
-    keep = simhash_components(docs, id_col, text_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs[id_col] == keep["__kept"], "left_semi")
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(fingerprint_groups(prints, radius, tile), "fp")
+    least = groups.groupBy("head").agg(F.min("least").alias("component_id"))
+    named = groups.select("fp", "head").join(least, "head").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, radius: int = 4, tile: int = 4096) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that with the smallest id, null ids last.
+
+    Of repeated rows one stays.  All columns stay as they are.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    prints = materialise(with_fingerprint(rows.select("id", "text", "row"), "text", n).select("row", "id", "fp").withColumn("uid", F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))
+    groups = prints.groupBy("fp").agg(F.min(order).alias("least")).join(fingerprint_groups(prints, radius, tile), "fp")
+    kept = groups.groupBy("head").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    return prints.join(kept, "uid", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in names))
