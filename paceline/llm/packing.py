@@ -8,6 +8,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -33,7 +34,7 @@ class WordIds(dict):
     BPE gives the same ids.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         self.most = most
         ranks, self.added = read_ranks(path)
@@ -113,16 +114,22 @@ def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocab_path)
-        for part in slices(batches, "text"):
-            out: list[list] = [[] for _ in schema]
+        for part in slices(batches, "text", 4 << 20):
+            out: list[list] = [[] for _ in range(5)]
+            kept: list[bytes] = []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 ids = words.encode(text or "") + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     own = ids[at : at + 4 * limit]
-                    row = [doc, piece, at // 4, len(own) // 4, zlib.crc32(own)] + [array("I", own).tolist()] * keep_ids
-                    for column, x in zip(out, row):
+                    for column, x in zip(out, (doc, piece, at // 4, len(own) // 4, zlib.crc32(own))):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+                    if keep_ids:
+                        kept.append(own)
+            arrays = [pa.array(x, f.type) for x, f in zip(out, schema)]
+            if keep_ids:
+                ends = np.cumsum([0, *out[3]]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
