@@ -132,7 +132,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             langs = part.column(0).to_pylist()
             doc, gram, count = trigrams(part.column(1).to_pylist())
             names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for part in slices(batches, "__text", 4 << 20):
+        for part in slices(batches, "__text", 1 << 20):
             found = model.mixtures(part.column(part.num_columns - 1).to_pylist())
             new = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score", "languages"])
