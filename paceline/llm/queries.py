@@ -56,4 +56,34 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans)}
 
-ORACLE_SQL: dict[str, str] = {}
+# The other operators have no form in SQL (models, tokenizers, XXH64, HTML); tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e, label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as fit
+  from embeddings),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.fit and b.fit and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach(a, b) as (
+  select vec_id, vec_id from v
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a),
+least as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from v join least on least.a = vec_id left join n on n.a = vec_id
+""",
+    "op8_warc_round_trip": """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, payload, strlen(payload) as payload_bytes, max(page_id) over (partition by payload) as top, sha1(payload) as hex from p),
+bits as (
+  select *, array_to_string(list_transform(range(1, 41), lambda i: (['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'])[strpos('0123456789abcdef', hex[i])]), '') as b
+  from d)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[cast(list_sum(list_transform(range(1, 6), lambda j: cast(b[5 * i + j] as integer) * (32 >> j))) + 1 as bigint)]), '') as payload_digest,
+  case when page_id < top then 'revisit' else 'response' end as record_type, case when page_id < top then top end as refers_to
+from bits
+""",
+}
