@@ -39,16 +39,16 @@ def normalised_tyre_life(df: DataFrame) -> DataFrame:
 def track_evolution(df: DataFrame, window: int = 5, fastest: int = 3) -> DataFrame:
     """Change of the field's pace (median of the fastest times of a lap) against ``window`` laps before; 0 at first.
 
-    A top-k by lap, a table of one row per lap, and a join back.
+    Windows within the session alone: laps run in the session are numbered, and a range frame over these numbers looks back.
     """
     keys = session_keys(df)
-    rank = F.row_number().over(Window.partitionBy(*keys, "LapNumber").orderBy("LapTime_s"))
-    top = df.where("LapTime_s is not null and LapNumber is not null").withColumn("__rank", rank).where(F.col("__rank") <= fastest)
-    pace = df.where("LapNumber is not null").select(*keys, "LapNumber").distinct().join(top.groupBy(*keys, "LapNumber").agg(F.median("LapTime_s").alias("__pace")), [*keys, "LapNumber"], "left")
-    lag = F.lag("__pace", window).over(Window.partitionBy(*keys).orderBy("LapNumber"))
-    factor = pace.select(*keys, "LapNumber", F.coalesce(F.col("__pace") - lag, F.lit(0.0)).alias("track_evolution_factor"))
-    out = df.join(factor, [*keys, "LapNumber"], "left")
-    return out.select(*df.columns, F.coalesce("track_evolution_factor", F.lit(0.0)).alias("track_evolution_factor"))
+    by_lap = [*keys, "LapNumber"]
+    rank = F.when(F.col("LapTime_s").isNotNull(), F.row_number().over(Window.partitionBy(*by_lap).orderBy(F.col("LapTime_s").asc_nulls_last())))
+    staged = df.withColumn("__rank", rank).withColumn("__pace", over_keys(F.median(F.when(F.col("__rank") <= fastest, F.col("LapTime_s"))), by_lap))
+    staged = staged.withColumn("__lap", F.when(F.col("LapNumber").isNotNull(), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("LapNumber").asc_nulls_last()))))
+    before = F.max("__pace").over(Window.partitionBy(*keys).orderBy("__lap").rangeBetween(-window, -window))
+    factor = F.when(F.col("__lap").isNotNull(), F.col("__pace") - before)
+    return staged.select(*df.columns, F.coalesce(factor, F.lit(0.0)).alias("track_evolution_factor"))
 
 
 def brake_wear(df: DataFrame, window: int = 3) -> DataFrame:

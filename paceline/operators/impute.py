@@ -33,20 +33,21 @@ def fill_compound(df: DataFrame) -> DataFrame:
     return df.withColumn("Compound", F.coalesce("Compound", mode))
 
 
-def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, ...] = ("Driver", "EventName"), approx: bool = False) -> DataFrame:
-    """Group medians, then the session's median of the column so filled.
+def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, ...] = ("Driver", "EventName"), long_sessions: bool = False, approx: bool = False) -> DataFrame:
+    """Group medians, then the session's median of the column so filled.  Without the group columns the second step is the only one.
 
-    The second step is a small aggregate joined back.  Without the group columns it is the only step.
+    Sessions are short, so both are windows within the session and need no exchange where rows lie by session.  For
+    ``long_sessions`` the session's medians are an aggregate joined back instead, which no single task has to sort.
     """
     columns = [c for c in columns if c in df.columns]
-    median = F.percentile_approx if approx else F.percentile
+    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
     if all(g in df.columns for g in groups):
         keys = grouped(df, list(groups))
-        # Medians by group as an aggregate: far fewer rows than a window would sort.
-        inner = df.where(keys_present(keys)).groupBy(*keys).agg(*(median(c, F.lit(0.5)).alias(f"__g_{c}") for c in columns))
-        df = df.join(inner, keys, "left").withColumns({c: F.coalesce(c, f"__g_{c}") for c in columns}).drop(*(f"__g_{c}" for c in columns)).select(*df.columns)
+        df = df.withColumns({c: F.coalesce(c, over_keys(median(c), keys)) for c in columns})
     outer_keys = session_keys(df)
-    outer = df.groupBy(*outer_keys).agg(*(median(c, F.lit(0.5)).alias(f"__s_{c}") for c in columns))
+    if outer_keys and not long_sessions:
+        return df.withColumns({c: F.coalesce(c, over_keys(median(c), outer_keys)) for c in columns})
+    outer = df.groupBy(*outer_keys).agg(*(median(c).alias(f"__s_{c}") for c in columns))
     joined = df.join(outer, outer_keys, "left") if outer_keys else df.join(F.broadcast(outer))
     return joined.withColumns({c: F.coalesce(c, f"__s_{c}") for c in columns}).select(*df.columns)
 

@@ -62,7 +62,8 @@ def add_track(df: DataFrame, tracks: DataFrame) -> DataFrame:
 def add_points(laps: DataFrame, results: DataFrame) -> DataFrame:
     """Championship points of the driver and the team before the round: sums over earlier rounds of the season.
 
-    Results are summed up by round first and cumulated over ranges of rounds, so no round reads the earlier ones again.
+    Results become one row for each season and name, with an array of its rounds' points (a season has some dozens of
+    rounds), so that each lap needs one lookup in a small table and the laps are read once.
     """
     name = lambda df, *options: next((c for c in options if c in df.columns), None)
     out = laps
@@ -72,13 +73,12 @@ def add_points(laps: DataFrame, results: DataFrame) -> DataFrame:
         if own is None or theirs is None or "Points" not in results.columns:
             out = out.withColumn(target, F.lit(0.0).cast("float"))
             continue
-        earned = points.groupBy("Season", F.col(theirs).alias("__key"), "RoundNumber").agg(F.sum("Points").alias("p"))
-        asked = laps.select("Season", F.col(own).alias("__key"), "RoundNumber", F.lit(0.0).alias("p")).distinct()
-        by_round = earned.union(asked).where("__key is not null").groupBy("Season", "__key", "RoundNumber").agg(F.sum("p").alias("p"))
-        w = Window.partitionBy("Season", "__key").orderBy("RoundNumber").rangeBetween(Window.unboundedPreceding, -1)
-        total = by_round.select(F.col("Season").alias("__season"), "__key", F.col("RoundNumber").alias("__round"), F.sum("p").over(w).alias("__total"))
-        match = (out["Season"] == F.col("__season")) & (out[own] == F.col("__key")) & (out["RoundNumber"] == F.col("__round"))
-        out = out.join(total, match, "left").withColumn(target, F.coalesce("__total", F.lit(0.0)).cast("float")).drop("__season", "__key", "__round", "__total")
+        by_round = points.where(F.col(theirs).isNotNull()).groupBy(F.col("Season").alias("__season"), F.col(theirs).alias("__key"), F.col("RoundNumber").alias("round")).agg(F.sum("Points").alias("p"))
+        earned = by_round.groupBy("__season", "__key").agg(F.collect_list(F.struct("round", "p")).alias("__earned"))
+        joined = out.join(earned, (out["Season"] == F.col("__season")) & (out[own] == F.col("__key")), "left")
+        before = F.filter("__earned", lambda x: x["round"] < F.col("RoundNumber"))
+        total = F.aggregate(before, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["p"], F.lit(0.0)))
+        out = joined.withColumn(target, F.coalesce(total, F.lit(0.0)).cast("float")).drop("__season", "__key", "__earned")
     return out
 
 

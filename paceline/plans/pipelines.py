@@ -13,10 +13,12 @@ from paceline.session import SESSION, session_keys
 def run_cleaning(raw: DataFrame) -> DataFrame:
     """Raw laps to clean laps: seconds, names, filters, fills.
 
-    The rows are dealt out by session and driver once; all windows of the filters and fills keep to that.
+    The rows are dealt out by session once; all windows of the filters and fills keep to that.  Sessions are short
+    (drivers times laps), so no task grows with the data.
     """
     laps = scalar.standard_teams(scalar.standard_drivers(scalar.times_to_seconds(raw)))
-    laps = laps.repartition(*session_keys(laps), "Driver")
+    if keys := session_keys(laps):
+        laps = laps.repartition(*keys)
     return impute.impute(filters.apply_filters(laps))
 
 
@@ -27,16 +29,16 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
 
 
 def run_features(clean: DataFrame, weather: DataFrame, results: DataFrame, strain_before_weather: bool = False, encoder: encode.OneHot | None = None) -> DataFrame:
-    """Clean laps to the feature matrix."""
-    laps = features.rolling_pace(clean)
-    laps = features.gap_to_fastest(laps)
+    """Clean laps to the feature matrix.
+
+    The as-of join comes first: its exchange deals rows out by session, and the windows of all other features keep to that.
+    """
+    laps = scalar.strain_index(clean) if strain_before_weather else clean
+    laps = joins.add_weather(laps, weather)
+    laps = laps if strain_before_weather else scalar.strain_index(laps)
+    laps = features.gap_to_fastest(features.rolling_pace(laps))
     laps = features.normalised_tyre_life(features.degradation_slope(laps))
-    laps = features.brake_wear(laps)
-    laps = features.track_evolution(laps)
-    if strain_before_weather:
-        laps = joins.add_weather(scalar.strain_index(laps), weather)
-    else:
-        laps = scalar.strain_index(joins.add_weather(laps, weather))
+    laps = features.track_evolution(features.brake_wear(laps))
     results = scalar.standard_teams(results, "TeamName") if "TeamName" in results.columns else results
     laps = scalar.grid_flags(joins.add_grid(joins.add_points(laps, results), results))
     return encoder.transform(laps) if encoder else laps
