@@ -23,8 +23,10 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], on: str = "Time
     keys = session_keys(left) if keys is None else keys
     require(right, [on, *keys, *columns])
     sample = F.struct(*(F.col(c) for c in columns))
-    tags = [f"__l_{c}" for c in left.columns]
-    rows = left.select(*keys, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.struct(*(F.col(c).alias(t) for c, t in zip(left.columns, tags))).alias("__row"), F.lit(None).cast(right.select(sample.alias("s")).schema["s"].dataType).alias("__s"))
+    # Keys stay columns of their own, so that what follows knows how the rows lie.
+    others = [c for c in left.columns if c not in keys] or [on]
+    tag = {c: f"__l_{c}" for c in others}
+    rows = left.select(*keys, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.struct(*(F.col(c).alias(t) for c, t in tag.items())).alias("__row"), F.lit(None).cast(right.select(sample.alias("s")).schema["s"].dataType).alias("__s"))
     samples = right.where(F.col(on).isNotNull()).select(*keys, F.col(on).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), sample.alias("__s"))
     both = rows.union(samples)
     part = list(keys)
@@ -40,7 +42,7 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], on: str = "Time
         carried = cells.select(*part, F.last("m", ignorenulls=True).over(back)["__s"].alias("__carried"))
         found = found.where("__side = 1").join(carried, part, "left").withColumn("__hit", F.coalesce("__hit", "__carried"))
     kept = found.where("__side = 1").withColumn("__hit", F.when(F.col("__t").isNotNull(), F.col("__hit")))
-    return kept.select(*(F.col("__row")[t].alias(c) for c, t in zip(left.columns, tags)), *(F.col("__hit")[c].alias(c) for c in columns))
+    return kept.select(*(F.col(c) if c in keys else F.col("__row")[tag[c]].alias(c) for c in left.columns), *(F.col("__hit")[c].alias(c) for c in columns))
 
 
 def add_weather(laps: DataFrame, weather: DataFrame, on: str = "Time", bucket_seconds: int | None = None) -> DataFrame:
