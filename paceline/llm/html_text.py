@@ -24,10 +24,14 @@ ASIDE = frozenset("nav footer aside form menu dialog button head label input fie
 CLOSES = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dd", "dd": "dd", "option": "option"}
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|menus?|nav|navbar|navigation|breadcrumbs?|"
-    r"side-?bars?|footers?|site-?header|page-?header|masthead|header|comments?|commentlist|disqus|replies|notices?|cookies?|consent|gdpr|alerts?|pop-?ups?|modals?|overlays?|"
+    r"side-?bars?|footers?|site-?header|page-?header|masthead|header|comments?|commentlist|disqus|repl(?:y|ies)|responses?|discussion|reactions?|feedback|notices?|cookies?|consent|gdpr|alerts?|pop-?ups?|modals?|overlays?|"
     r"newsletters?|subscribe|subscription|related|recommended|share|sharing|social|tags|widgets?|pagination|pager|toolbar|login|signup|search|skip-?link|paywall|copyright)(?=$|[\s_-])",
     re.I,
 )
+# Names that only tell of a part elsewhere, and headers that hold an article's own title.
+NOT_NOISE = re.compile(r"\b(?:has|with|without|no)[_-][\w-]+|\b(?:article|post|entry|story|content)[_-]+header\b", re.I)
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|responses?|teaser|card|related|promo|sponsor(?:ed)?|ads?|advert)(?=$|[\s_-])", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 MAIN = frozenset(("article", "main"))
 
@@ -48,11 +52,14 @@ class Line:
 def _noisy(name: str, attrs: str, in_main: bool) -> bool:
     if name in ASIDE or (name == "header" and not in_main):
         return True
-    if not attrs or name in ("html", "body") or name in MAIN:
+    if not attrs or name in ("html", "body"):
         return False
+    noise = COMMENT if name in MAIN else NOISE
     for k, *values in _ATTR.findall(attrs):
         k, v = k.lower(), next(filter(None, values), "")
-        if (k in ("class", "id") and NOISE.search(v)) or (k == "role" and v.lower() in ROLES) or (k == "hidden") or (k == "aria-hidden" and v.lower() == "true"):
+        if k in ("class", "id") and noise.search(NOT_NOISE.sub(" ", CAMEL.sub("-", v))):
+            return True
+        if (k == "role" and v.lower() in ROLES) or (k == "hidden") or (k == "aria-hidden" and v.lower() == "true"):
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True

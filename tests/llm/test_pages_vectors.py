@@ -26,6 +26,9 @@ STORY = "This is a paragraph of the story with quite a lot of words in it, long
         (f"<nav><a href=1>Home</a></nav><div class='cookie-notice'>We use cookies</div><h1>Head</h1><div><p>{STORY}<p>Short.<p>{STORY}</div><div id=comments><p>{STORY}</div><aside>{STORY}</aside>", f"Head {STORY} Short. {STORY}"),
         (f"<script>var t='</p><p>{STORY}';</script><style>p{{}}</style><main>x<form>{STORY}</form>y</main>", "x y"),
         (f"<article>{STORY}</article><div class='sidebar'>{STORY} {STORY}</div>", STORY),
+        (f"<div class='layout has-sidebar'><article class=post><div class=post-header><h1>T</h1></div><p>{STORY}</p></article></div><article class='comment'>{STORY} {STORY}</article>", f"T {STORY}"),
+        (f"<div id=pageMain><h2>Head</h2><p>{STORY}</p><p>End.</p></div><div class=userComments><p>{STORY}</p></div><ul><li><a href=1>{STORY}</a></ul>", f"Head {STORY} End."),
+        (f"<div><p>{STORY}<div role=alert>{STORY}</div><p hidden>{STORY}</p><p style='display: none'>{STORY}</p>x</div>", f"{STORY} x"),
         ("<article>a &lt;b&gt; &#233; &#x1F642;</article>", "a <b> é 🙂"),
     ],
 )
