@@ -172,7 +172,7 @@ def all_paths(own, t):
     units, place, _ = own.units([t])
     out = {(): 0.0}
     for u in (units[i] for i in place):
-        rec = np.frombuffer(own[u][0], segment._EDGE)
+        rec = np.frombuffer(u[0], segment._EDGE)
 
         def walk(node, rec=rec):
             if node < 0:
@@ -187,7 +187,7 @@ def test_sampling_without_replacement(own):
     t, n, k = "ab to", 6000, 3
     paths = all_paths(own, t)
     assert sum(map(math.exp, paths.values())) == pytest.approx(1)
-    search = segment.Search(own, *own.units([t] * n), segment.row_seeds(list(range(n)), 1))
+    search = segment.Search(*own.units([t] * n), segment.row_seeds(list(range(n)), 1))
     first, second, weight = Counter(), Counter(), Counter()
     for found, after in search.top(k):
         got = [tuple(search.ids[p].tolist()) for p, _, _ in found]
