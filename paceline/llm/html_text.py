@@ -148,8 +148,9 @@ def main_lines(rows: list[Line], width: int = 3, surge: float = 60.0) -> list[Li
 
     ``block[i]`` sums the unlinked text of ``width`` lines from line i on.  The main run holds the greatest total
     of text over consecutive lines whose blocks stay at ``surge`` or more (or half the greatest block, where all
-    are less).  It then reaches over the rest of the article or main element that holds most of it, and
-    over headings that stand right before it.
+    are less).  It then reaches over the rest of each article or main element that holds a part of it, and never over
+    one outside it.  Less than ``surge`` of text between its end and these elements' border, which the blocks only look
+    at, goes; headings that stand right before it stay.
     """
     if not rows:
         return []
@@ -171,20 +172,15 @@ def main_lines(rows: list[Line], width: int = 3, surge: float = 60.0) -> list[Li
                 best = (start, stop, total)
             start = None
     first, stop, _ = best
-    weight: dict[int, float] = {}
-    for r, n in zip(rows[first:stop], size[first:stop].tolist()):
-        weight[r.main] = weight.get(r.main, 0.0) + n
-    held = max(weight, key=lambda k: (weight[k], -k)) if weight else 0
-    if held == 0 and any(r.main for r in rows) and sum(n for r, n in zip(rows, size.tolist()) if r.main):
-        totals: dict[int, float] = {}
-        for r, n in zip(rows, size.tolist()):
-            totals[r.main] = totals.get(r.main, 0.0) + n
-        held = max((k for k in totals if k), key=lambda k: (totals[k], -k))
-    if held:
-        return [r for r in rows if r.main == held]
+    held = {r.main for r in rows[first:stop] if r.main}
+    if held:  # the elements' borders, unless as much text as makes a surge stands beyond them
+        at = [i for i, r in enumerate(rows) if r.main in held]
+        begin, end = at[0], at[-1] + 1
+        first = min(first, begin) if size[first:begin].sum() >= surge else begin
+        stop = max(stop, end) if size[end:stop].sum() >= surge else end
     while first and rows[first - 1].heading:
         first -= 1
-    return [r for r in rows[first:stop] if not r.text or r.linked < 0.8 * len(r.text) or r.heading]
+    return [r for r in rows[first:stop] if r.main or not r.text or r.linked < 0.8 * len(r.text) or r.heading]
 
 
 def extract(page: str | None, width: int = 3, surge: float = 60.0) -> str:

@@ -36,6 +36,25 @@ def test_extract(page, text):
     assert html_text.extract(page) == text
 
 
+PARTS = [f"Part {i}. {STORY}" for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a story in plain divs beside a short article
+        (f"<article><h3>Teaser</h3><p>A short word on it.</p></article><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><div>{PARTS[0]}</div><div>{PARTS[1]}</div>", f"{PARTS[0]} {PARTS[1]}"),
+        (f"<div>{PARTS[0]}</div><div>{PARTS[1]}</div><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><article><h3>Teaser</h3><p>A short word on it.</p></article>", f"{PARTS[0]} {PARTS[1]}"),
+        # several articles, and a story that goes on beyond one
+        ("".join(f"<article><h2>{i}</h2><p>{t}</p></article>" for i, t in enumerate(PARTS)), " ".join(f"{i} {t}" for i, t in enumerate(PARTS))),
+        (f"<div>{PARTS[0]}</div><article><p>{PARTS[1]}</p><p>x</p></article><div>{PARTS[2]}</div>", f"{PARTS[0]} {PARTS[1]} x {PARTS[2]}"),
+        (f"<p>A tagline</p><article><h1>T</h1><p>{PARTS[0]}</p></article><p>Bottom</p>", f"T {PARTS[0]}"),
+    ],
+)
+def test_run_before_elements(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_whole_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_main_text(pages.selectExpr("*", "1 as text")).collect()}
