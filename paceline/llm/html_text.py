@@ -35,18 +35,32 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 MAIN = frozenset(("article", "main"))
 
+# Elements that hold a piece of text, not a part of a page.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl dir dt table thead tbody tfoot tr caption pre blockquote figure figcaption address details summary".split())
+CELLS = frozenset("td th li dd".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = re.compile(r"\s+")
 
 
+class Node:
+    """A block element: its parent, depth, name, and name with class."""
+
+    __slots__ = ("parent", "depth", "name", "kind")
+
+    def __init__(self, parent: Node | None, name: str, kind: tuple[str, str]):
+        self.parent, self.name, self.kind = parent, name, kind
+        self.depth = parent.depth + 1 if parent else 0
+
+
 class Line:
-    """One block's text: its letters within links, and the main elements and depth that it stands at."""
+    """One block's text: its letters within links, and the main element, heading and block that it stands in."""
 
-    __slots__ = ("text", "linked", "main", "heading")
+    __slots__ = ("text", "linked", "main", "heading", "node")
 
-    def __init__(self, text: str, linked: int, main: int, heading: bool):
-        self.text, self.linked, self.main, self.heading = text, linked, main, heading
+    def __init__(self, text: str, linked: int, main: int, heading: bool, node: Node):
+        self.text, self.linked, self.main, self.heading, self.node = text, linked, main, heading, node
 
 
 def _noisy(name: str, attrs: str, in_main: bool) -> bool:
@@ -66,6 +80,10 @@ def _noisy(name: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _class(attrs: str) -> str:
+    return next((" ".join(next(filter(None, v), "").split()) for k, *v in _ATTR.findall(attrs) if k.lower() == "class"), "")
+
+
 def lines(page: str) -> list[Line]:
     """Strip the markup of ``page``: one line for each run of text between block boundaries.
 
@@ -75,22 +93,23 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     buffer: list[str] = []
     linked = mains = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether their text is left out
+    root = Node(None, "", ("", ""))
+    stack: list[tuple[str, bool, Node]] = []  # open elements, whether their text is left out, and the block around it
     outer, heading, in_link = 0, False, False
 
     def flush() -> None:
         nonlocal linked
         text = _WHITE.sub(" ", html.unescape("".join(buffer))).strip()
         if text:
-            out.append(Line(text, linked, outer, heading))
+            out.append(Line(text, linked, outer, heading, stack[-1][2] if stack else root))
         buffer.clear()
         linked = 0
 
     def state() -> None:
         nonlocal outer, heading, in_link
-        heading = any(n[0] == "h" and n[1:].isdigit() for n, _ in stack)
-        in_link = any(n == "a" for n, _ in stack)
-        if not any(n in MAIN for n, _ in stack):
+        heading = any(n[0] == "h" and n[1:].isdigit() for n, *_ in stack)
+        in_link = any(n == "a" for n, *_ in stack)
+        if not any(n in MAIN for n, *_ in stack):
             outer = 0
 
     at, skip = 0, False
@@ -130,7 +149,11 @@ def lines(page: str) -> list[Line]:
             if name in MAIN and not outer and not skip:
                 mains += 1
                 outer = mains
-            stack.append((name, skip_now := (bool(stack) and stack[-1][1]) or _noisy(name, m[3], bool(outer))))
+            skip_now = (bool(stack) and stack[-1][1]) or _noisy(name, m[3], bool(outer))
+            node = stack[-1][2] if stack else root
+            if name in BLOCKS:
+                node = Node(node, name, (name, _class(m[3]) if m[3] else ""))
+            stack.append((name, skip_now, node))
             if name in RAW and not skip_now:
                 skip_now = True
             if name in RAW:  # its content is no markup
@@ -143,12 +166,64 @@ def lines(page: str) -> list[Line]:
     return out
 
 
+def _ancestor(a: Node, b: Node) -> Node:
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def _child(node: Node, above: Node) -> Node | None:
+    """The child of ``above`` that is or holds ``node``; none where it isn't within, or is ``above`` itself."""
+    last = None
+    while node is not None and node.depth > above.depth:
+        last, node = node, node.parent
+    return last if node is above else None
+
+
+def _inside(node: Node, above: Node) -> bool:
+    return node is above or _child(node, above) is not None
+
+
+def _links(row: Line, surge: float) -> bool:
+    return row.linked >= 0.8 * len(row.text) and len(row.text) - row.linked < surge and not row.heading
+
+
+def container(rows: list[Line], size: np.ndarray, first: int, stop: int, surge: float) -> Node:
+    """The smallest element around the lines of a run that is a part of the page.
+
+    A paragraph, list or table is none, nor is a cell or item of one line, nor one of several elements with the
+    same name, class and parent that each hold ``surge`` of text: there the parent is asked.
+    """
+    text = [i for i in range(first, stop) if size[i]] or [first]
+    node = rows[text[0]].node
+    for i in text[1:]:
+        node = _ancestor(node, rows[i].node)
+    while node.parent is not None and node.name != "body":
+        if node.name in TEXTUAL:
+            node = node.parent
+            continue
+        held: dict[Node, float] = {}
+        for r, n in zip(rows, size.tolist()):
+            if (part := _child(r.node, node.parent)) and part.kind == node.kind:
+                held[part] = held.get(part, 0.0) + n
+        alike = sum(n >= surge for part, n in held.items() if part is not node) and node.name not in ("td", "th")
+        one = sum(_inside(r.node, node) for r in rows) == 1
+        if not (alike or (one and node.name in CELLS)):
+            break
+        node = node.parent
+    return node
+
+
 def main_lines(rows: list[Line], width: int = 3, surge: float = 60.0) -> list[Line]:
     """The lines from surge to dive of the text-length distribution.
 
     ``block[i]`` sums the unlinked text of ``width`` lines from line i on.  The main run holds the greatest total
     of text over consecutive lines whose blocks stay at ``surge`` or more (or half the greatest block, where all
-    are less).  It then reaches over the rest of each article or main element that holds a part of it, and never over
+    are less).  Other runs in the same ``container`` belong to it with all that stands between, however short the lines
+    that part them, and with lines of links; those before the first and after the last text go.  It then reaches over the rest of each article or main element that holds a part of it, and never over
     one outside it.  Less than ``surge`` of text between its end and these elements' border, which the blocks only look
     at, goes; headings that stand right before it stay.
     """
@@ -158,7 +233,7 @@ def main_lines(rows: list[Line], width: int = 3, surge: float = 60.0) -> list[Li
     block = np.convolve(size, np.ones(width))[width - 1 :] if len(size) >= width else size[::-1].cumsum()[::-1]
     block = np.concatenate([block, np.zeros(len(rows) - len(block))]) if len(block) < len(rows) else block[: len(rows)]
     high = block >= min(surge, 0.5 * float(block.max()))
-    best, start, total = (0, 0, -1.0), None, 0.0
+    runs, start, total = [], None, 0.0
     for i, up in enumerate([*high.tolist(), False]):
         if up:
             start, total = (i, 0.0) if start is None else (start, total)
@@ -168,10 +243,24 @@ def main_lines(rows: list[Line], width: int = 3, surge: float = 60.0) -> list[Li
             while stop > i and size[stop - 1] == 0:
                 stop -= 1
             total += float(size[i:stop].sum())
-            if total > best[2]:
-                best = (start, stop, total)
+            runs.append((start, stop, total))
             start = None
-    first, stop, _ = best
+    first, stop, _ = best = max(runs, key=lambda r: r[2])
+    if len(runs) > 1:
+        part = container(rows, size, first, stop, surge)
+        at = runs.index(best)
+        for near in runs[at + 1 :]:
+            if not all(_inside(r.node, part) for r, n in zip(rows[stop : near[1]], size[stop : near[1]]) if n):
+                break
+            stop = near[1]
+        for near in runs[:at][::-1]:
+            if not all(_inside(r.node, part) for r, n in zip(rows[near[0] : first], size[near[0] : first]) if n):
+                break
+            first = near[0]
+    while first < stop and _links(rows[first], surge):  # blocks reach over lines before and after the text
+        first += 1
+    while first < stop and _links(rows[stop - 1], surge):
+        stop -= 1
     held = {r.main for r in rows[first:stop] if r.main}
     if held:  # the elements' borders, unless as much text as makes a surge stands beyond them
         at = [i for i, r in enumerate(rows) if r.main in held]
@@ -180,7 +269,7 @@ def main_lines(rows: list[Line], width: int = 3, surge: float = 60.0) -> list[Li
         stop = max(stop, end) if size[end:stop].sum() >= surge else end
     while first and rows[first - 1].heading:
         first -= 1
-    return [r for r in rows[first:stop] if r.main or not r.text or r.linked < 0.8 * len(r.text) or r.heading]
+    return rows[first:stop]
 
 
 def extract(page: str | None, width: int = 3, surge: float = 60.0) -> str:

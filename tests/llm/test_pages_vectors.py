@@ -55,6 +55,32 @@ def test_run_before_elements(page, text):
     assert html_text.extract(page) == text
 
 
+SHORT = [f"Item {i}" for i in range(6)]
+LIST = "<ul>" + "".join(f"<li>{x}</li>" for x in SHORT) + "</ul>"
+TABLE = "<table>" + "".join(f"<tr><td>{x}<td>{i}" for i, x in enumerate(SHORT)) + "</table>"
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a>" for i in range(5)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body>{LINKS}<div id=story><p>{PARTS[0]}</p>{LIST}<p>{PARTS[1]}</p><p>{PARTS[2]}</p></div>{LINKS}</body>", " ".join([PARTS[0], *SHORT, PARTS[1], PARTS[2]])),
+        (f"<div id=story><p>{PARTS[0]}</p><p>{PARTS[1]}</p>{TABLE}<p>{PARTS[2]}</p></div>", " ".join([PARTS[0], PARTS[1], *(f"{x} {i}" for i, x in enumerate(SHORT)), PARTS[2]])),
+        (f"<div id=story><p>{PARTS[0]}</p><p><a href=1>{PARTS[1]}</a></p><p>{PARTS[2]}</p></div>{LINKS}", " ".join(PARTS[:3])),
+        (f"<div id=story><p>{PARTS[0]}</p>{LINKS}<p>{PARTS[1]}</p></div>", f"{PARTS[0]} Link 0 Link 1 Link 2 Link 3 Link 4 {PARTS[1]}"),
+        # each paragraph in its own element; an interview; a list in the first of two articles
+        (f"<div id=story><div class=par>{PARTS[0]}</div>" + "".join(f"<div class=par>{x}</div>" for x in SHORT) + f"<div class=par>{PARTS[1]}</div></div>", " ".join([PARTS[0], *SHORT, PARTS[1]])),
+        (f"<p>{PARTS[0]}</p>" + "".join(f"<p>{x}</p>" for x in SHORT) + f"<p>{PARTS[1]}</p>", " ".join([PARTS[0], *SHORT, PARTS[1]])),
+        (f"<article><p>{PARTS[0]}</p>{LIST}</article><article><p>{PARTS[1]}</p><p>{PARTS[2]}</p></article>", " ".join([PARTS[0], *SHORT, PARTS[1], PARTS[2]])),
+        # text in another part of the page stays out
+        (f"<div id=story><p>{PARTS[0]}</p><p>{PARTS[1]}</p></div>{LINKS}<div class=about><p>{PARTS[2]}</p></div>", f"{PARTS[0]} {PARTS[1]}"),
+        (f"<table><tr><td>{LINKS}<p>{PARTS[3]}</p>{LINKS}</td><td><p>{PARTS[0]}</p>{LIST}<p>{PARTS[1]}</p><p>{PARTS[2]}</p></td></tr></table>", " ".join([PARTS[0], *SHORT, PARTS[1], PARTS[2]])),
+    ],
+)
+def test_runs_of_one_part(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_whole_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_main_text(pages.selectExpr("*", "1 as text")).collect()}
