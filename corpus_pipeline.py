@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents in no language: those without a letter (or text), and those of which no language makes up a quarter."""
+    """Without documents in no learned language: those without a letter (or text), and those whose trigrams mostly are letters at random."""
     return langid.keep_identified(docs.select(*COLUMNS))
 
 

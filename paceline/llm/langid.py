@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,39 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def _hashed(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    a = np.uint64(0x9E3779B97F4A7C15)
+    h = (((first * a) ^ middle) * a ^ last) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, count) of the lower-cased letters of all texts, with the number of words as that of the space."""
+    codes = np.frombuffer(("\n".join((t or "").lower() for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    count = np.bincount(codes[letter], minlength=33)
+    count[32] = np.count_nonzero(letter[:-1] & ~letter[1:])
+    at = np.flatnonzero(count)
+    return at, count[at]
+
+
+def background(codes: np.ndarray, count: np.ndarray, smoothing: float = 0.5, most: int = 128) -> np.ndarray:
+    """Probabilities of hashed trigrams in no language: letters drawn one by one, by their counts over all languages.
+
+    The ``most`` most common letters are counted up; those beyond, and a share of ``smoothing``, go to all buckets alike.
+    """
+    space = codes == 32
+    codes, count, words = codes[~space].astype(np.uint64), count[~space].astype(float), float(count[space].sum())
+    order = np.lexsort((codes, -count))[:most]
+    middle = count[order] / count.sum()
+    outer, ends = np.append(count[order], words) / (count.sum() + words), np.append(codes[order], np.uint64(32))
+    out = np.zeros(1 << BITS)
+    for c, weight in zip(codes[order], middle):
+        gram = _hashed(ends[:, None], np.full((1, 1), c, np.uint64), ends[None, :])
+        out += np.bincount(gram.ravel(), (weight * outer[:, None] * outer[None, :]).ravel(), 1 << BITS)
+    return (1 - smoothing) * (out + (1 - out.sum()) / (1 << BITS)) + smoothing / (1 << BITS)
+
+
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hashed letter trigram, count) of each different trigram of each text, in order.
 
@@ -38,9 +72,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     keep[0] = True
     c = np.where(letter, codes, 32)[keep].astype(np.uint64)
     mid = np.flatnonzero(letter[keep][1:-1]) + 1
-    a = np.uint64(0x9E3779B97F4A7C15)
-    h = (((c[mid - 1] * a) ^ c[mid]) * a ^ c[mid + 1]) * np.uint64(0xD6E8FEB86659FD93)
-    gram = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    gram = _hashed(c[mid - 1], c[mid], c[mid + 1])
     # The border in front counts for the text before it, letters for their own.
     key = np.sort((doc[keep][mid] << BITS) | gram)
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -49,10 +81,32 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Trigram probabilities: one row for each language, in the order of ``names``."""
+    """Trigram probabilities: one row for each language, in the order of ``names``; ``seen`` are those without smoothing."""
 
     names: tuple[str, ...]
     p: np.ndarray
+    seen: np.ndarray | None = None
+    background: np.ndarray | None = None
+
+    def known(self, texts: list[str | None], rounds: int = 12) -> np.ndarray:
+        """The share of each text's trigrams that the languages together explain, and not the background: 0 without a letter.
+
+        Expectation-maximisation starts from one half for the background.  Trigrams seen in no language are the background's.
+        """
+        out = np.zeros(len(texts))
+        if not self.names:
+            return out
+        doc, gram, count = trigrams(texts)
+        if not len(doc):
+            return out
+        start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        who, doc = doc[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(doc))))
+        count, n = count.astype(float), len(self.names)
+        share = np.full((n + 1, len(start)), 0.5 / n)
+        share[n] = 0.5
+        share, _ = _em([*self.seen[:, gram], self.background[gram]], count, doc, start, np.add.reduceat(count, start), share, rounds)
+        out[who] = 1 - share[n]
+        return out
 
     def mixtures(self, texts: list[str | None], penalty: float = 3.0, rounds: int = 12) -> list[tuple[str, float, str]]:
         """(language, score, languages with shares) of each text.
@@ -122,35 +176,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, with_background: bool = False) -> LanguageModel:
     """Trigram probabilities by language, from all rows of ``docs`` with a text and a language.
 
     Each task sums up counts by language and hashed trigram; Spark adds these, and what reaches the driver
-    is 2^16 counts for each language, whatever the corpus.
+    is 2^16 counts for each language, whatever the corpus; ``with_background`` adds one for each of its letters.
     """
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        seen: dict[str, Counter] = defaultdict(Counter)
         for part in slices(batches, "text", 1 << 20):
-            langs = part.column(0).to_pylist()
-            doc, gram, count = trigrams(part.column(1).to_pylist())
+            langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            doc, gram, count = trigrams(texts)
             names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             own = np.array([names[x] for x in langs])[doc]
             for x, i in names.items():
                 at = own == i
                 sums[x] = sums.get(x, 0) + np.bincount(gram[at], count[at], 1 << BITS)
+            if with_background and len(doc):  # letters stand after the trigrams, at whichever language of these texts
+                code, n = letters(texts)
+                seen[langs[doc[0]]].update(dict(zip(code.tolist(), n.tolist())))
         for x, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], schema=schema)
+        for x, c in seen.items():
+            at = np.array(sorted(c))
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at + (1 << BITS), pa.int32()), pa.array([c[k] for k in at.tolist()], pa.int64())], schema=schema)
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = tuple(sorted(set(counts["lang"].to_pylist())))
     row = {x: i for i, x in enumerate(names)}
     p = np.full((len(names), 1 << BITS), smoothing)
-    np.add.at(p, (np.array([row[x] for x in counts["lang"].to_pylist()], int), counts["gram"].to_numpy()), counts["n"].to_numpy())
-    return LanguageModel(names, p / p.sum(1, keepdims=True))
+    own, gram, n = np.array([row[x] for x in counts["lang"].to_pylist()], int), counts["gram"].to_numpy(), counts["n"].to_numpy()
+    at = gram < 1 << BITS
+    np.add.at(p, (own[at], gram[at]), n[at])
+    found = LanguageModel(names, p / p.sum(1, keepdims=True))
+    if with_background and names:
+        code, where = np.unique(gram[~at] - (1 << BITS), return_inverse=True)
+        raw = p - smoothing
+        found = replace(found, seen=raw / raw.sum(1, keepdims=True), background=background(code, np.bincount(where, n[~at])))
+    return found
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -180,9 +248,23 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(rows, train(rows.where("not held_out")), keep=("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
-    """``docs`` without the rows that have no language: no letter at all, or none with a score of ``least``."""
-    model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows in no learned language: no letter at all, or languages that together explain less than ``least``
+    of the trigrams, the rest being better explained by letters drawn one by one.
+
+    A text in several learned languages stays.  One in a language close to a learned one may stay too.
+    """
+    model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col, with_background=True)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    found = identify(docs, model, text_col, keep=tuple(names))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    rows = docs.select(*names, F.col(text_col).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for part in slices(batches, "__text", 1 << 20):
+            known = model.known(part.column(part.num_columns - 1).to_pylist())
+            kept = (known > 0) & (known >= least)
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]).filter(pa.array(kept))
+
+    return rows.mapInArrow(run, fields)

@@ -89,6 +89,24 @@ def test_language_edge_cases(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() + 1
 
 
+def test_other_languages_and_junk_go(spark, docs):
+    rng = random.Random(4)
+    good = [text(rng, "en", 3), text(rng, "de", 1), "and the " + "42 -- " * 50, text(rng, "en", 40) + " " + text(rng, "fr", 40) + " " + text(rng, "de", 40), "with xqzv from which there would"]
+    bad = ["Hallitus päätti eilen korottaa veroja ja kansalaiset eivät ole tyytyväisiä", "Правительство решило вчера повысить налоги", "政府昨天决定提高税收", "xqzv wkjh pqrx zzxcv bnmq wrtp lkjhg fdsa qwrtz", "the " + "kqzjx wvbpq " * 9]
+    new = [(1000 + i, t, None) for i, t in enumerate(good)] + [(2000 + i, t, None) for i, t in enumerate(bad)]
+    mixed = spark.createDataFrame(new, "doc_id long, text string, lang string").unionByName(docs)
+    kept = {r["doc_id"] for r in langid.keep_identified(mixed).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {1000 + i for i in range(len(good))}
+
+
+def test_background_is_a_distribution():
+    code, count = langid.letters(["Hello, World 42!", None, "Ünï-cödé", "a"])
+    assert dict(zip(code.tolist(), count.tolist())) == {**{ord(k): v for k, v in Counter("helloworldünïcödéa").items()}, 32: 5}
+    for most in (3, 128):
+        b = langid.background(code, count, most=most)
+        assert b.sum() == pytest.approx(1) and b.min() > 0
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
