@@ -22,7 +22,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One document of each op3 group stays, that with the smallest id: 4-word shingles, fingerprints within 4 of 64 bits.
+
+    By the angle of SimHash 4 bits are a Jaccard similarity near 0.96 (an estimate, not measured); most near copies from 0.8 to 0.95 stay.
+    """
     return simhash.dedup_simhash(docs.select(*COLUMNS))
 
 
