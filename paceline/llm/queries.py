@@ -27,7 +27,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, keep_ids=False)
+    return segment.sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

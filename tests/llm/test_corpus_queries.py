@@ -32,3 +32,9 @@ def test_query_covers_its_table(spark, sf_dir, name):
     table = {"doc_id": "documents", "vec_id": "embeddings", "page_id": "pages"}[key]
     want = {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect()}
     assert {r[0] for r in df.select(key).collect()} == want
+
+
+def test_segmentations_are_given_whole(spark, sf_dir):
+    rows = QUERIES["op4_sampled_segmentations"](spark, sf_dir).selectExpr("sample", "n_pieces", "ids").collect()
+    assert {r["sample"] for r in rows} == {0, 1, 2, 3}
+    assert all(len(r["ids"]) == r["n_pieces"] for r in rows)
