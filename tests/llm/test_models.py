@@ -187,25 +187,31 @@ def test_encoding_is_the_library_s(own):
 
 
 def all_paths(own, t):
-    units, place, _ = own.units([t])
-    out = {(): 0.0}
-    for u in (units[i] for i in place):
-        rec = np.frombuffer(u[0], segment._EDGE)
-
-        def walk(node, rec=rec):
-            if node < 0:
-                return {(): 0.0}
-            return {(int(r["id"]), *p): float(r["logq"]) + x for r in rec if math.ceil(r["cum"]) - 1 == node for p, x in walk(int(r["to"])).items()}
-
-        out = {a + b: x + y for a, x in out.items() for b, y in walk(0).items()}
-    return out
+    """{ids: log-probability} of every segmentation of ``t``, by the weights of the pieces alone."""
+    text = (" " + t).replace(" ", "▁")
+    piece = {own.sp.id_to_piece(i): i for i in np.flatnonzero(own.weight).tolist()}
+    byte = math.log(own.byte_weight)
+
+    def walk(at):
+        if at == len(text):
+            return {(): 0.0}
+        steps = [((piece[text[at:e]],), math.log(own.weight[piece[text[at:e]]]), e) for e in range(at + 1, len(text) + 1) if text[at:e] in piece]
+        if text[at] not in piece:
+            raw = text[at].encode()
+            steps.append((tuple(own.byte[b] for b in raw), byte * len(raw), at + 1))
+        return {(*ids, *p): x + y for ids, x, e in steps for p, y in walk(e).items()}
+
+    out = walk(0)
+    top = max(out.values())
+    total = top + math.log(sum(math.exp(x - top) for x in out.values()))
+    return {p: x - total for p, x in out.items()}
 
 
 def test_sampling_without_replacement(own):
     t, n, k = "ab to", 6000, 3
     paths = all_paths(own, t)
     assert sum(map(math.exp, paths.values())) == pytest.approx(1)
-    search = segment.Search(*own.units([t] * n), segment.row_seeds(list(range(n)), 1))
+    search = segment.Search(own, *own.units([t] * n), segment.row_seeds(list(range(n)), 1))
     first, second, weight = Counter(), Counter(), Counter()
     for found, after in search.top(k):
         got = [tuple(search.ids[p].tolist()) for p, _, _ in found]
@@ -222,6 +228,51 @@ def test_sampling_without_replacement(own):
     assert weight[max(p, key=p.get)] / n == pytest.approx(1, abs=0.05)
 
 
+def sampled(own, texts, keys, k=3):
+    search = segment.Search(own, *own.units(texts), segment.row_seeds(keys, 1))
+    return [([(tuple(search.ids[p].tolist()), x, v) for p, x, v in found], after) for found, after in search.top(k)]
+
+
+def test_all_segmentations_of_short_texts_come_out(own):
+    """Asked for more than there are, the search gives each segmentation once, with its log-probability by brute force."""
+    for t in ("a", "to", "é🙂", "b\n c", "a  b", "        "):
+        paths = all_paths(own, t)
+        ((found, after),) = sampled(own, [t], [7], k=len(paths) + 5)
+        assert {p: pytest.approx(x, abs=1e-6) for p, x, _ in found} == paths and len(found) == len(paths) and after == -math.inf
+    at_once = sampled(own, ["a", "to", "é🙂 x"], [1, 2, 3], k=4)
+    assert at_once == [sampled(own, [t], [i], k=4)[0] for i, t in enumerate(["a", "to", "é🙂 x"], 1)]
+
+
+def test_samples_do_not_depend_on_the_batch(own):
+    texts = [" ".join(f"word{i * j % 17} is{'ab' * (j % 5)}, {j}" for j in range(200)) for i in range(6)]
+    alone = [sampled(own, [t], [i])[0] for i, t in enumerate(texts)]
+    fresh = segment.Pieces(PIECES, most_edges=200)  # its tables are emptied all the time
+    assert sampled(own, texts, list(range(6))) == alone and [sampled(fresh, [t], [i])[0] for i, t in enumerate(texts)] == alone
+
+
+def test_units_are_known_by_their_characters(spark, own):
+    """Polynomial hashes modulo 2^64 take the Thue-Morse word and its complement for the same."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").coalesce(1)
+    got = segment.sample_segmentations(docs, PIECES).collect()
+    assert all(r["round_trip"] for r in got) and len(got) == 8
+    assert {r["doc_id"]: r["ids"] for r in got if r["sample"] == 0} == {1: own.sp.encode(a), 2: own.sp.encode(b)}
+
+
+def test_long_unbroken_texts(own):
+    """9,000 letters are one unit of more than 4,096 steps: no draw is used twice, and every sample spells the text."""
+    text = "internationalisation" * 450
+    assert own.encode(text).tolist() == own.sp.encode(text)
+    ((found, _),) = sampled(own, [text], [3])
+    assert len({p for p, _, _ in found}) == 3
+    spelt = ("▁" + text).encode()
+    assert all(own.surface(np.array(p)) == spelt for p, _, _ in found)
+    key = segment.row_places(np.array([5], np.uint64), np.array([0]))
+    draws = {float(segment.uniform(key, what, turn, step)[0]) for what in ("walk", "leave") for turn in range(3) for step in range(6000)}
+    assert len(draws) == 36_000
+
+
 def test_sample_segmentations(spark, own):
     rows = [(i, t) for i, t in enumerate(ODD) if "▁" not in t] + [(None, "null id"), (90, None), (91, "twice"), (91, "twice")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sample")
