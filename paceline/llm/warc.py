@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from paceline.llm._spark import materialise, shared_dir, slices
 
 CHUNK = 1 << 20
+SALTS = 16
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:page")
 _RECORD = "archive string, record_id string, record_type string, page_id long, target_uri string, refers_to_id string, declared_digest string, declared_bytes long"
 _SCHEMA = pa.schema(
@@ -29,8 +31,9 @@ _SCHEMA = pa.schema(
 )
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest}')}"
+def record_id(page_id: int | None, digest: str, copy: str = "") -> str:
+    """Of repeated rows each ``copy`` has a name of its own."""
+    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest} {copy}'.rstrip())}"
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -45,69 +48,116 @@ def base32_of_hex(sha1):
     return F.concat(*(F.substring(letters, F.conv(F.substring(bits, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(32)))
 
 
+def _salt(column):
+    """A few numbers dealt out by hash, so that the rows of one common payload go to as many tasks."""
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def record_types(rows: DataFrame, least: int = 0) -> DataFrame:
-    """``(page_id, sha1, payload_bytes, record_type, refers_to)`` for each different (page_id, sha1) of ``rows``.
+    """``(page_id, sha1, payload_bytes, copies, record_type, refers_to, shared)`` for each different (page_id, sha1) of ``rows`` (page_id, sha1, payload_bytes).
 
     Of equal payloads of ``least`` bytes or more, that with the largest page_id is the response and the others
-    revisit it; a null page_id counts as the smallest.
+    revisit it; a null page_id counts as the smallest.  ``copies`` counts repeated rows; ``shared`` tells the responses that others revisit.
     """
-    own = rows.select("page_id", "sha1", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("payload_bytes")).distinct()
-    first = own.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("keeper"))
+    own = rows.groupBy("page_id", "sha1", "payload_bytes").agg(F.count("*").alias("copies"))
+    many = own.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     other = F.coalesce(F.col("page_id") < F.col("keeper"), F.col("page_id").isNull() & F.col("keeper").isNotNull())
-    return own.join(first, "sha1", "left").select(
-        "page_id", "sha1", "payload_bytes", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("keeper")).alias("refers_to")
+    return own.withColumn("salt", _salt("page_id")).join(_salted(many), ["sha1", "salt"], "left").select(
+        "page_id", "sha1", "payload_bytes", "copies", F.when(other, "revisit").otherwise("response").alias("record_type"),
+        F.when(other, F.col("keeper")).alias("refers_to"), (~other & F.col("n").isNotNull()).alias("shared"),
     )
 
 
-def _header(row: dict) -> bytes:
-    revisit, size = row["record_type"] == "revisit", 0 if row["record_type"] == "revisit" else row["payload_bytes"]
+def _header(kind: str, name: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: str | None = None) -> bytes:
     lines = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{record_id(row['page_id'], row['payload_digest'])}>", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{row['payload_digest']}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}",
     ]
-    if row["page_id"] is not None:
-        lines.append(f"X-Page-ID: {row['page_id']}")
-    if row["url"] is not None:
-        lines.append("WARC-Target-URI: " + "".join(row["url"].split()))
-    if revisit:
-        lines += [f"WARC-Refers-To: <{record_id(row['refers_to'], row['payload_digest'])}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
+    if url is not None:
+        lines.append("WARC-Target-URI: " + "".join(url.split()))
+    if refers_to is not None:
+        lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, least: int = 0, level: int = 1) -> DataFrame:
-    """Write ``pages`` (page_id, url, payload binary) as .warc.gz files, one for each task; gives ``(archive, records)``.
+def _views(column: pa.Array) -> list[memoryview]:
+    """The cells of a binary column, without a copy."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [whole[i:j] for i, j in zip(ends, ends[1:])]
 
-    Each record is a gzip member, streamed into the file in pieces.  A task that runs again
-    writes a file of another name; only files of tasks that ended well are in the result.
-    """
-    pages = pages.withColumn("sha1", F.sha1(F.coalesce("payload", F.lit(b""))))
-    types = record_types(pages, least).withColumnsRenamed({"page_id": "t_id", "sha1": "t_sha1"})
-    rows = pages.join(types, F.col("page_id").eqNullSafe(F.col("t_id")) & (F.col("sha1") == F.col("t_sha1"))).withColumn("payload_digest", base32_of_hex("sha1"))
-    where = shared_dir(pages.sparkSession, "warc")
+
+def _write(chunks: DataFrame, where: str, kind: str, level: int) -> DataFrame:
+    """Write records, given as their chunk rows one after the other, as gzip members into a file for each task; ``(archive, record_id, page_id, sha1, shared)`` of each."""
+    schema = pa.schema([("archive", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("sha1", pa.string()), ("shared", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get(), 0
         files, root = file_system(where)
         files.create_dir(root, recursive=True)
-        name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
+        name = f"{root}/{kind}-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         with files.open_output_stream(name, compression=None) as out:
-            for part in slices(batches, "payload"):
-                for row in part.to_pylist():
-                    gz = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    out.write(gz.compress(_header(row)))
-                    if row["record_type"] == "response":
-                        body = memoryview(row["payload"] or b"")
-                        for at in range(0, len(body), CHUNK):
-                            out.write(gz.compress(body[at : at + CHUNK]))
-                    out.write(gz.compress(b"\r\n\r\n") + gz.flush())
-                    n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
-        else:
+            for part in slices(batches, "data", 4 * CHUNK):
+                told: list[tuple] = []
+                columns = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("chunk", "chunks", "page_id", "url", "sha1", "payload_digest", "payload_bytes", "copies", "refers_to_id", "shared")]
+                for data, chunk, chunks, page, url, sha1, digest, size, copies, refers, shared in zip(_views(part.column(part.schema.get_field_index("data"))), *columns):
+                    if chunk == 0:
+                        n += 1
+                        own, gz, running = record_id(page, digest, f"{task.partitionId()}-{n}" if copies > 1 else ""), zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
+                        out.write(gz.compress(_header(kind, own, page, url, digest, size if kind == "response" else 0, refers)))
+                    running.update(data)
+                    out.write(gz.compress(data))
+                    if chunk == chunks - 1:
+                        if kind == "response" and running.hexdigest() != sha1:
+                            raise ValueError(f"chunks of {own} do not add up to its payload")
+                        out.write(gz.compress(b"\r\n\r\n") + gz.flush())
+                        told.append((name, own, page, sha1, shared))
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told), schema)], schema=schema)
+        if not n:
             files.delete_file(name)
 
-    listed = rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, records long")
-    return materialise(listed, "warc-list").withColumn("root", F.lit(where))
+    return chunks.mapInArrow(run, "archive string, record_id string, page_id long, sha1 string, shared boolean")
+
+
+def write_archives(pages: DataFrame, least: int = 0, level: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """Write ``pages`` (page_id, url, payload binary) as .warc.gz files; gives ``(archive, records, root)``.
+
+    What is a response and what a revisit is settled on a narrow table of digests.  Payloads then go to the writers as rows
+    of record and chunk number, which stream them into their files and hold a running digest against the
+    payload's.  Revisits, which have no payload, follow in files of their own and name the record of their response.  A task that
+    runs again writes a file of another name; only files of tasks that ended well are in the result.  Null payloads are empty, repeated rows and
+    null ids have a record each, under different names, and an empty table gives no archive.
+    """
+    pages = pages.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload")).withColumn("sha1", F.sha1("payload"))
+    where = shared_dir(pages.sparkSession, "warc")
+    narrow = materialise(pages.select("page_id", "url", "sha1", F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-digests")
+    types = materialise(record_types(narrow, least), "warc-types")
+    key = types.withColumnsRenamed({"page_id": "t_id", "sha1": "t_sha1"})
+    same = lambda df: F.col("page_id").eqNullSafe(F.col("t_id")) & (F.col("sha1") == F.col("t_sha1"))
+    fields = ["page_id", "url", "sha1", base32_of_hex("sha1").alias("payload_digest"), "payload_bytes", "copies", "shared"]
+    responses = pages.join(key.where("record_type = 'response'"), same(pages))
+    chunks = F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1)).cast("int")
+    responses = responses.select(*fields, F.lit(None).cast("string").alias("refers_to_id"), chunks.alias("chunks"), "payload", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    responses = responses.withColumn("data", F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk))).drop("payload")
+    written = materialise(_write(responses, where, "response", level), "warc-responses")
+    target = written.where("shared").groupBy(F.col("page_id").alias("refers_to"), F.col("sha1").alias("r_sha1")).agg(F.min("record_id").alias("refers_to_id"))
+    # Only the one payload of a row differs in size here, so revisits need no more than their narrow rows.
+    revisits = narrow.drop("payload_bytes").join(key.where("record_type = 'revisit'"), same(narrow)).withColumn("salt", _salt("page_id"))
+    revisits = revisits.join(_salted(target).withColumnRenamed("salt", "r_salt"), (F.col("salt") == F.col("r_salt")) & (F.col("t_sha1") == F.col("r_sha1")) & key["refers_to"].eqNullSafe(target["refers_to"]))
+    revisits = revisits.select(*fields, "refers_to_id", F.lit(1).alias("chunks"), F.lit(0).alias("chunk"), F.lit(b"").alias("data"))
+    listed = written.unionByName(materialise(_write(revisits, where, "revisit", level), "warc-revisits"))
+    return materialise(listed.groupBy("archive").agg(F.count("*").alias("records")), "warc-list").withColumn("root", F.lit(where))
 
 
 def _inflate(stream, block: int = CHUNK) -> Iterator[bytes]:
@@ -197,8 +247,9 @@ def read_archives(listed: DataFrame, chunk: int = CHUNK, keep_data: bool = True)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
-    files = listed.select("archive", "root")
-    return files.repartition(F.col("archive")).mapInArrow(run, _RECORD + ", chunk long, data binary, bytes_so_far long, sha1_so_far string, last boolean")
+    # A task for each archive, dealt out one after the other.
+    files = listed.select("archive", "root").repartition(max(1, listed.count()))
+    return files.mapInArrow(run, _RECORD + ", chunk long, data binary, bytes_so_far long, sha1_so_far string, last boolean")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
@@ -215,6 +266,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     responses = read.where("record_type = 'response'")
     checked = F.when(F.col("payload_digest") == F.col("declared_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "record_id")).cast("string"))
     kept = responses.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    target = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    again = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(target, "refers_to_id").select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    revisits = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").withColumn("salt", _salt("page_id"))
+    # The responses that others revisit, at a few places each, as one may have very many.
+    target = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    target = target.join(revisits.select("refers_to_id").distinct(), "refers_to_id", "left_semi")
+    again = revisits.join(_salted(target), ["refers_to_id", "salt"]).select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
     return kept.union(again)

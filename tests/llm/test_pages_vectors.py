@@ -130,6 +130,27 @@ def test_round_trip(spark, least):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_valid_and_read_by_many_tasks(spark):
+    """Every record has a name of its own, revisits name a record that exists, and chunks are no larger than asked."""
+    rows = [(i % 40, f"http://a/{i}", "common " * 300 if i % 3 == 0 else f"page {i % 60} " * 50) for i in range(240)] + [(None, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    listed = warc.write_archives(pages.selectExpr("page_id", "url", "encode(html, 'UTF-8') as payload"), chunk=500)
+    chunks = warc.read_archives(listed, chunk=300)
+    assert chunks.rdd.getNumPartitions() == listed.count() > 1
+    table = chunks.collect()
+    last = [r for r in table if r["last"]]
+    names = [r["record_id"] for r in last]
+    assert len(names) == len(set(names)) == len(rows) == sum(r["records"] for r in listed.collect())
+    responses = {r["record_id"]: r for r in last if r["record_type"] == "response"}
+    revisits = [r for r in last if r["record_type"] == "revisit"]
+    assert revisits and all(responses[r["refers_to_id"]]["declared_digest"] == r["declared_digest"] for r in revisits)
+    assert all(len(r["data"]) <= 300 for r in table)
+    whole = {}
+    for r in sorted(table, key=lambda r: r["chunk"]):
+        whole[r["record_id"]] = whole.get(r["record_id"], b"") + r["data"]
+    assert all(hashlib.sha1(whole[n]).hexdigest() == r["sha1_so_far"] and len(whole[n]) == r["bytes_so_far"] for n, r in responses.items())
+
+
 def brute(rows, threshold):
     good = {i: np.array(v, float) for i, v, lab in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     label = {i: lab for i, _, lab in rows}
