@@ -11,7 +11,8 @@ MAX_ROUNDS = 60
 
 
 def _min_neighbour(links: DataFrame) -> DataFrame:
-    return links.groupBy("a").agg(F.min("b").alias("m"))
+    """Each node's least neighbour, in an exchange of its own, so that adaptive execution may split the links of a hub that they are joined with."""
+    return links.groupBy("a").agg(F.min("b").alias("m")).repartition("a")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

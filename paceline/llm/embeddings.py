@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.llm._spark import materialise
@@ -16,20 +18,54 @@ from paceline.llm.components import connected_components
 _SLACK = 1e-9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as a matrix of doubles."""
+LEADS = 4  # leading principal coordinates by which tiles are formed and told apart
+
+
+def _unpack(column: pa.Array, kind: str) -> np.ndarray:
+    """A binary column of vectors of one length as a matrix of doubles."""
     n = len(column)
-    return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def moments(vectors: DataFrame) -> tuple[int, np.ndarray]:
+def packed_vectors(vectors: DataFrame, kind: str) -> DataFrame:
+    """``(vec_id, label, key, vector)`` of rows ``(vec_id, label, vector)``: the vector as bytes and a 128-bit hash of them, or null where it can't link.
+
+    Doubles are scaled by their largest part where this lies outside 1e-100 to 1e100: cosines stay, squares keep
+    within the range of doubles.
+    """
+    label = vectors.schema["label"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            own = column.flatten()
+            parts = np.asarray(own.fill_null(np.nan), kind)  # a null part is as bad as one that is no number
+            size = np.nan_to_num(np.asarray(pa.compute.list_value_length(column).fill_null(0), np.float64)).astype(np.int64)
+            ends = np.cumsum(size)
+            finite = np.append(0, np.cumsum(np.isfinite(parts)))
+            some = np.append(0, np.cumsum(np.nan_to_num(parts) != 0))
+            fit = (size > 0) & (finite[ends] - finite[ends - size] == size) & (some[ends] - some[ends - size] > 0)
+            fit &= np.asarray(batch.column(1).is_valid())
+            keys, blobs = [], []
+            for ok, i, j in zip(fit.tolist(), (ends - size).tolist(), ends.tolist()):
+                x = parts[i:j]
+                if ok and kind == "<f8" and not 1e-100 <= (top := float(np.abs(x).max())) <= 1e100:
+                    x = x / top
+                blobs.append((x + 0).tobytes() if ok else None)  # -0 becomes 0
+                keys.append(hashlib.blake2b(blobs[-1], digest_size=16).digest() if ok else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["vec_id", "label", "key", "vector"])
+
+    return vectors.mapInArrow(run, f"vec_id long, label {label}, key binary, vector binary")
+
+
+def moments(classes: DataFrame, kind: str) -> tuple[int, np.ndarray]:
     """(rows, second moments of the unit vectors) over all rows: one d x d sum for each task, added up in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = None, 0
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(0))
+                x = _unpack(batch.column(0), kind)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 total = x.T @ x if total is None else total + x.T @ x
                 count += len(x)
@@ -38,7 +74,7 @@ def moments(vectors: DataFrame) -> tuple[int, np.ndarray]:
             at = pa.array(range(-1, len(flat)), pa.int32())
             yield pa.RecordBatch.from_arrays([at, pa.array([float(count), *flat.tolist()])], names=["at", "value"])
 
-    rows = vectors.select("vector").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    rows = classes.select("vector").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     flat = [r["value"] for r in sorted(rows, key=lambda r: r["at"])]
     d = round(max(0, len(flat) - 1) ** 0.5)
     return (int(flat[0]) if flat else 0), np.array(flat[1:]).reshape(d, d)
@@ -109,73 +145,77 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             return
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 2048) -> DataFrame:
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int | None = None) -> DataFrame:
     """One row ``(vec_id, n_links, component_id, kept)`` for each row: links to other vectors of an equal label.
 
     A link is a cosine of ``threshold`` or more in double precision.  Rows whose label is null or whose vector is null, empty, zero or
     has null or non-finite parts link with nothing, nor do vectors of different lengths; repeated rows are rows of their own; a null id is a
     row whose own id is never the smallest of a group; an empty table gives no rows; other columns are left out.
 
-    Equal vectors meet once, as a class with a count.  Classes are sorted by label and leading principal coordinate into
-    tiles; tile pairs of a label are compared unless their leading coordinates lie further apart than the
-    threshold allows.  From each tile pair come link counts and a spanning star of each group, not its pairs.
+    Equal vectors meet once, as a class with a count.  Classes are sorted by label and leading principal coordinates into
+    tiles (``tile`` rows, by default what makes 8 MB, 8192 at most); tile pairs of a label are compared unless their leading
+    coordinates lie further apart than the threshold allows.  From each tile pair come link counts and a spanning star of
+    each group, not its pairs.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
-    fit = (
-        F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)
-        & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-        & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    )
-    # Scaling by the largest part keeps very large and very small vectors within the range of doubles; cosines stay.
-    top = F.array_max(F.transform("vector", F.abs))
-    rows = materialise(rows.select("vec_id", "label", F.when(fit, F.transform("vector", lambda x: F.when(top.between(1e-100, 1e100), x).otherwise(x / top))).alias("vector")), "vectors")
-    classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    floats = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if floats else "<f8"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>" if floats else "array<double>").alias("vector"))
+    packed = materialise(packed_vectors(rows, kind), "vectors")
+    fit = packed.where("key is not null")
+    # A copy's bytes stay in its task: of each class one vector goes on.
+    classes = fit.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    lone = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    sizes = [r["n"] for r in classes.select(F.size("vector").alias("n")).distinct().collect()]
+    lone = packed.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    sizes = [r["n"] for r in classes.select(F.octet_length("vector").alias("n")).distinct().collect()]
     found = None
-    for d in sizes:
-        links = _class_links(classes.where(F.size("vector") == d), threshold, tile)
+    for n in sizes:
+        links = _class_links(classes.where(F.octet_length("vector") == n), kind, threshold, tile or max(256, min(8192, (1 << 20) // (n // np.dtype(kind).itemsize))))
         found = links if found is None else found.union(links)
     if found is None:
         return lone.withColumn("kept", F.lit(True))
     found = materialise(found, "vector-links")
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
     heads = connected_components(found.where("other is not null"), "class", "other")
-    reps = classes.select("class", "rep", "size").join(counts, "class", "left").join(heads, F.col("class") == F.col("node"), "left")
-    reps = reps.select("class", "rep", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class").alias("head"))
+    reps = classes.select("class", "label", "key", "rep", "size").join(counts, "class", "left").join(heads, F.col("class") == F.col("node"), "left")
+    reps = reps.select("label", "key", "rep", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class").alias("head"))
     least = reps.groupBy("head").agg(F.min("rep").alias("component_id"))
-    told = reps.join(least, "head").select("class", "n_links", "component_id")
-    members = rows.where("vector is not null").join(classes.select("label", "vector", "class"), ["label", "vector"]).select("vec_id", "class").join(told, "class")
-    out = members.select("vec_id", "n_links", "component_id").union(lone)
+    told = reps.join(least, "head").select("label", "key", "n_links", "component_id")
+    out = fit.select("vec_id", "label", "key").join(told, ["label", "key"]).select("vec_id", "n_links", "component_id").union(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _class_links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """``(class, n, other)``: rows linked from a class to other classes, and a smaller class of its local group or null."""
-    spark = classes.sparkSession
-    count, second = moments(classes)
-    axes = principal_axes(second)
-    lead = F.aggregate(
-        F.zip_with("vector", F.array(*map(F.lit, axes[:, 0].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-    ) / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    n = max(1, -(-count // tile))
-    rows = classes.select("class", "label", "size", "vector", lead.alias("lead")).repartitionByRange(n, "label", "lead").sortWithinPartitions("label", "lead")
-    names = ["tile", "label", "low", "high", "classes", "sizes", "vectors"]
-    ddl = f"tile long, label {dict(classes.dtypes)['label']}, low double, high double, classes binary, sizes binary, vectors binary"
-
-    def to_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(classes: DataFrame, kind: str, axes: np.ndarray, reach: float, tile: int, count: int) -> DataFrame:
+    """Rows ``(tile, label, low, high, classes, sizes, vectors)``: up to ``tile`` classes of one label that lie near each other in the leading coordinates."""
+    label = dict(classes.dtypes)["label"]
+    leads = np.pad(axes[:, :LEADS], ((0, 0), (0, max(0, LEADS - axes.shape[1]))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _unpack(batch.column(3), kind)
+                lead = (x @ leads) / np.linalg.norm(x, axis=1, keepdims=True)
+                cell = np.zeros(len(x), np.int64)  # boxes as wide as the reach of a link
+                for k in range(lead.shape[1]):
+                    cell = cell << 12 | np.floor((lead[:, k] + 1) / max(reach, 1e-3)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), lead.shape[1]).cast(pa.list_(pa.float64()))], names=["class", "label", "size", "vector", "cell", "lead"])
+
+    rows = classes.select("class", "label", "size", "vector").mapInArrow(place, f"class long, label {label}, size long, vector binary, cell long, lead array<double>")
+    # Ranges of about a tile and as many tasks; the class number parts what lies in one box.
+    rows = rows.repartitionByRange(max(1, -(-count // tile)), "label", "cell", "class").sortWithinPartitions("label", "cell", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, held = TaskContext.get().partitionId() << 32, 0, []
 
         def flush():
             nonlocal made
             t = pa.Table.from_batches(held)
-            lead = t["lead"].to_numpy()
-            blob = lambda x: pa.array([x.tobytes()], pa.binary())
-            vectors = np.concatenate([_matrix(c) for c in t["vector"].chunks])
-            row = [pa.array([base + made]), t["label"].slice(0, 1).combine_chunks(), pa.array([float(lead.min())]), pa.array([float(lead.max())]), blob(t["class"].to_numpy()), blob(t["size"].to_numpy()), blob(vectors)]
+            lead = np.asarray(t["lead"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+            blob = lambda x: pa.array([x], pa.binary())
+            box = lambda x: pa.array([x.tolist()], pa.list_(pa.float64()))
+            row = [pa.array([base + made]), t["label"].slice(0, 1).combine_chunks(), box(lead.min(0)), box(lead.max(0)), blob(t["class"].to_numpy().tobytes()), blob(t["size"].to_numpy().tobytes()), blob(b"".join(t["vector"].to_pylist()))]
             made += 1
-            return pa.RecordBatch.from_arrays(row, names=names)
+            held.clear()
+            return pa.RecordBatch.from_arrays(row, names=["tile", "label", "low", "high", "classes", "sizes", "vectors"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -186,51 +226,74 @@ def _class_links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
                 while i < j:
                     if held and (held[0].column(1)[0].as_py() != labels[i] or sum(x.num_rows for x in held) >= tile):
                         yield flush()
-                        held.clear()
-                    room = tile - sum(x.num_rows for x in held)
-                    held.append(batch.slice(i, min(room, j - i)))
+                    held.append(batch.slice(i, min(tile - sum(x.num_rows for x in held), j - i)))
                     i += held[-1].num_rows
         if held:
             yield flush()
 
-    tiles = materialise(rows.mapInArrow(to_tiles, ddl), "vector-tiles")
+    return rows.mapInArrow(run, f"tile long, label {label}, low array<double>, high array<double>, classes binary, sizes binary, vectors binary")
+
+
+def _tile_pairs(tiles: DataFrame, reach: float) -> DataFrame:
+    """``(tile, tile2)`` of a label, each pair once, unless the boxes lie further apart than ``reach``.
+
+    Tiles are numbered by label; each asks for those of its own number and above, so a label with very many tiles
+    is dealt out like many labels.
+    """
+    by = Window.partitionBy("label")
+    meta = tiles.select("tile", "label", "low", "high").withColumns({"k": F.row_number().over(by.orderBy("tile")), "most": F.count("*").over(by)})
+    asks = meta.select("tile", "label", "low", "high", F.explode(F.sequence("k", F.col("most").cast("int"))).alias("k"))
+    other = meta.select(F.col("tile").alias("tile2"), "label", F.col("low").alias("low2"), F.col("high").alias("high2"), "k")
+    gaps = [F.greatest(F.col("low")[i] - F.col("high2")[i], F.col("low2")[i] - F.col("high")[i], F.lit(0.0)) for i in range(LEADS)]
+    apart = sum((g * g for g in gaps), F.lit(0.0))
+    return asks.join(other, ["label", "k"]).where(apart <= reach * reach).select("tile", "tile2")
+
+
+def _class_links(classes: DataFrame, kind: str, threshold: float, tile: int) -> DataFrame:
+    """``(class, n, other)``: rows linked from a class to other classes, and a smaller class of its local group or null."""
+    count, second = moments(classes, kind)
+    axes = principal_axes(second)
     # Unit vectors with a cosine of t lie within sqrt(2 - 2t) of each other, so do their leading coordinates.
     reach = (max(0.0, 2 - 2 * threshold)) ** 0.5 + 1e-6
-    meta = tiles.select("tile", "label", "low", "high")
-    other = meta.toDF("tile2", "label2", "low2", "high2")
-    pairs = meta.join(other, (F.col("label") == F.col("label2")) & (F.col("tile") <= F.col("tile2")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach)).select("tile", "tile2")
-    pairs = materialise(pairs, "tile-pairs")
-    left = tiles.select("tile", F.col("classes").alias("c1"), F.col("sizes").alias("s1"), F.col("vectors").alias("v1"))
-    right = tiles.select(F.col("tile").alias("tile2"), F.col("classes").alias("c2"), F.col("sizes").alias("s2"), F.col("vectors").alias("v2"))
-    # Each task takes a few tile pairs: a pair is one row of two tiles.
-    work = pairs.join(left, "tile").join(right, "tile2").repartition(F.col("tile"), F.col("tile2"))
+    tiles = materialise(_tiles(classes, kind, axes, reach, tile, count), "vector-tiles")
+    pairs = materialise(_tile_pairs(tiles, reach), "tile-pairs")
+    # Each pair is a place where its two tiles meet: a tile is sent once to each of its pairs.
+    ends = pairs.select(F.col("tile").alias("one"), F.col("tile2").alias("two"), F.explode(F.when(F.col("tile") == F.col("tile2"), F.array("tile")).otherwise(F.array("tile", "tile2"))).alias("tile"))
+    work = tiles.select("tile", "classes", "sizes", "vectors").join(ends, "tile").repartition("one", "two").sortWithinPartitions("one", "two", "tile")
     out = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
-    held_axes = spark.sparkContext.broadcast(axes)
+    held_axes = classes.sparkSession.sparkContext.broadcast(axes)
+
+    def meet(tiles: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        (c, s, a), *rest = tiles
+        b, offset = a, 0
+        if rest:
+            ((c2, s2, b),), offset = rest, len(c)
+            c, s = np.concatenate([c, c2]), np.concatenate([s, s2])
+        number, label = np.zeros(len(c), np.int64), np.arange(len(c))
+        for i, j in tile_links(a, b, held_axes.value, threshold, not rest):
+            j = j + offset
+            np.add.at(number, i, s[j])
+            np.add.at(number, j, s[i])
+            _union(label, i, j)
+        hit = np.flatnonzero(number)
+        if len(hit):
+            star = np.where(label[hit] == hit, -1, label[hit])
+            other = pa.array(np.where(star < 0, 0, c[star]), mask=star < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(number[hit]), other], schema=out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes = held_axes.value
+        held, last = [], None
         for batch in batches:
+            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in ("one", "two", "classes", "sizes", "vectors")}
             for k in range(batch.num_rows):
-                get = lambda name: batch.column(batch.schema.get_field_index(name))[k].as_buffer()  # noqa: B023, E731
-                same = batch.column(batch.schema.get_field_index("tile"))[k].as_py() == batch.column(batch.schema.get_field_index("tile2"))[k].as_py()
-                c1, s1 = np.frombuffer(get("c1"), np.int64), np.frombuffer(get("s1"), np.int64)
-                a = np.frombuffer(get("v1"), np.float64).reshape(len(c1), -1)
-                if same:
-                    c, s, b, offset = c1, s1, a, 0
-                else:
-                    c2, s2 = np.frombuffer(get("c2"), np.int64), np.frombuffer(get("s2"), np.int64)
-                    b, offset = np.frombuffer(get("v2"), np.float64).reshape(len(c2), -1), len(c1)
-                    c, s = np.concatenate([c1, c2]), np.concatenate([s1, s2])
-                number, label = np.zeros(len(c), np.int64), np.arange(len(c))
-                for i, j in tile_links(a, b, axes, threshold, same):
-                    j = j + offset
-                    np.add.at(number, i, s[j])
-                    np.add.at(number, j, s[i])
-                    _union(label, i, j)
-                hit = np.flatnonzero(number)
-                if len(hit):
-                    star = np.where(label[hit] == hit, -1, label[hit])
-                    other = pa.array(np.where(star < 0, 0, c[star]), mask=star < 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(number[hit]), other], schema=out)
+                pair = columns["one"][k].as_py(), columns["two"][k].as_py()
+                if held and pair != last:
+                    yield from meet(held)
+                    held = []
+                own = np.frombuffer(columns["classes"][k].as_py(), np.int64)
+                vectors = np.frombuffer(columns["vectors"][k].as_py(), kind).astype(np.float64).reshape(len(own), -1)
+                held, last = [*held, (own, np.frombuffer(columns["sizes"][k].as_py(), np.int64), vectors)], pair
+        if held:
+            yield from meet(held)
 
     return work.mapInArrow(compare, "class long, n long, other long")

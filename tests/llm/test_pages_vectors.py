@@ -183,6 +183,24 @@ def test_vector_links(spark, tile):
     assert embeddings.link_vectors(df.limit(0)).count() == 0
 
 
+def test_one_label_holds_most_vectors(spark):
+    """Many tiles of one label, floats, and tile pairs that the leading coordinates rule out."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([c + rng.normal(size=(60, 6)) * 0.15 for c in rng.normal(size=(9, 6))])
+    points = np.concatenate([points, points[:1].repeat(150, 0)]).astype(np.float32)
+    rows = [(i, v.tolist(), 0 if i % 10 else 1) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_vectors(df, tile=16).collect()}
+    assert got == brute(rows, 0.93)
+    kind, packed = "<f4", embeddings.packed_vectors(df.selectExpr("vec_id", "label", "embedding as vector"), "<f4")
+    classes = packed.groupBy("label", "key").agg({"vector": "first", "vec_id": "min"}).selectExpr("label", "`min(vec_id)` as class", "1L as size", "`first(vector)` as vector")
+    count, second = embeddings.moments(classes, kind)
+    reach = (2 - 2 * 0.93) ** 0.5 + 1e-6
+    tiles = embeddings._tiles(classes, kind, embeddings.principal_axes(second), reach, 16, count)
+    n = tiles.where("label = 0").count()
+    assert n > 20 and 0 < embeddings._tile_pairs(tiles, reach).count() < n * (n + 1) // 2
+
+
 def test_pipeline(spark, tmp_path):
     sys.path.insert(0, ROOT)
     import corpus_pipeline as pipeline
