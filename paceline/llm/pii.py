@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,6 @@ from paceline.llm._spark import mapper, slices
 # The kinds in the order in which spans are listed, and their base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -81,6 +81,38 @@ _SPELT = re.compile(
 )
 
 
+_RUN = re.compile(r"(?<![a-z0-9._%+@-])[a-z0-9._%+-]+")
+
+
+class Taken:
+    """Stretches of a text that are spoken for."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)  # the first stretch that ends after a
+        return i == len(self.starts) or self.starts[i] >= b
+
+
+def _names(low: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Where one of ``names`` stands by itself in a lower-cased text: the longest at each place, full stops after it aside."""
+    for m in _RUN.finditer(low):
+        run, after = m[0], low[m.end() : m.end() + 1]
+        stops = [i for i, c in enumerate(run) if c == "." and not run[i + 1 : i + 2].isalnum() and i] if "." in run else []
+        for end in ([len(run)] if after != "@" else []) + stops[::-1]:
+            if run[:end] in names:
+                yield m.start(), m.start() + end
+                break
+
+
 @dataclass(frozen=True)
 class Token:
     start: int
@@ -110,11 +142,7 @@ def _shape(text: str) -> str:
 
 def tokens(text: str, spans: list[Span]) -> list[Token]:
     """The nodes of a document's field: base spans, loose forms outside them, and repeats of the names in its email addresses."""
-    out, taken = [], sorted((a, b) for _, a, b in spans)
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
-
+    out, free = [], Taken((a, b) for _, a, b in spans).free
     names = set()
     for kind, a, b in spans:
         piece = text[a:b]
@@ -137,10 +165,8 @@ def tokens(text: str, spans: list[Span]) -> list[Token]:
                 new.append(Token(*m.span(), (f"e{local}@{host}", f"l{local}"), _shape(m[0]), O))
         low = text.lower() if len(text.lower()) == len(text) else text
         if names:
-            found = re.compile(r"(?<![a-z0-9._%+@-])(?:" + "|".join(map(re.escape, sorted(names, key=lambda x: (-len(x), x)))) + r")(?![a-z0-9_%+@-])(?!\.[a-z0-9])")
-            for m in found.finditer(low):
-                if free(*m.span()) and all(m.end() <= t.start or m.start() >= t.end for t in new):
-                    new.append(Token(*m.span(), (f"l{m[0]}",), _shape(text[m.start() : m.end()]), O))
+            free = Taken([(a, b) for _, a, b in spans] + [(t.start, t.end) for t in new]).free
+            new += [Token(a, b, (f"l{low[a:b]}",), _shape(text[a:b]), O) for a, b in _names(low, names) if free(a, b)]
     return sorted(out + new, key=lambda t: (t.start, t.end, t.label))
 
 
@@ -193,9 +219,18 @@ class Field:
         psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         message = np.zeros((len(src), labels))
-        for _ in range(rounds):
+        by_node = np.argsort(dst, kind="stable")  # messages to one node, one after the other
+        first = np.flatnonzero(np.diff(dst[by_node], prepend=-1))
+        asked = dst[by_node][first]
+
+        def beliefs(message: np.ndarray) -> np.ndarray:
             belief = phi.copy()
-            np.add.at(belief, dst, message)
+            if len(message):
+                belief[asked] += np.add.reduceat(message[by_node], first)
+            return belief
+
+        for _ in range(rounds):
+            belief = beliefs(message)
             out = (belief[src] - message[back])[:, :, None] + psi
             top = out.max(1, keepdims=True)
             new = top[:, 0] + np.log(np.exp(out - top).sum(1))
@@ -205,8 +240,7 @@ class Field:
             message = new
             if moved < 1e-4:
                 break
-        belief = phi.copy()
-        np.add.at(belief, dst, message)
+        belief = beliefs(message)
         belief = np.exp(belief - belief.max(1, keepdims=True))
         return belief / belief.sum(1, keepdims=True)
 
@@ -220,13 +254,14 @@ class Field:
         return base + added
 
 
-def train(docs: DataFrame, text_col: str = "text", smoothing: float = 1.0, floor: float = 0.02) -> Field:
+def train(docs: DataFrame, text_col: str = "text", smoothing: float = 1.0, floor: float = 0.02, agree: float = 400.0) -> Field:
     """Piecewise training on all texts, the base spans being the labels.
 
     Counts of (shape, label) give the local potentials and counts of neighbouring labels the chain potentials; both are smoothed,
-    and a label is never held below ``floor`` by shape alone, as the patterns miss what the field is to find.
-    Agreement of alike tokens has a fixed weight (their labels by pattern are the very thing in doubt).
-    Tasks sum up first; shapes are few.
+    and a label is never held below ``floor`` by shape alone, as the patterns miss what the field is to find.  The weight
+    of agreement is the log odds that alike tokens have the same kind, over pairs that the patterns both give one (where they give
+    none the label is the very thing in doubt); ``agree`` pairs that do and one that doesn't are taken as seen before.
+    Tasks sum up first; shapes are few.  Null texts and empty tables add nothing.
     """
     schema = pa.schema([("a", pa.string()), ("b", pa.int32()), ("n", pa.int64())])
 
@@ -238,6 +273,8 @@ def train(docs: DataFrame, text_col: str = "text", smoothing: float = 1.0, floor
                     nodes = tokens(text, base_spans(text))
                     seen.update((t.shape, t.label) for t in nodes)
                     seen.update((f"#{s.label}", t.label) for s, t in zip(nodes, nodes[1:]))
+                    if sum(t.label != O for t in nodes) > 1:
+                        seen.update(("=", int(nodes[i].label == nodes[j].label)) for i, j in edges(nodes)[1] if O not in (nodes[i].label, nodes[j].label))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
@@ -246,8 +283,11 @@ def train(docs: DataFrame, text_col: str = "text", smoothing: float = 1.0, floor
     labels = O + 1
     local: dict[str, np.ndarray] = {}
     chain = np.full((labels, labels), smoothing)
+    alike = np.array([1.0, agree])
     for r in rows:
-        if r["a"][0] == "#":
+        if r["a"] == "=":
+            alike[r["b"]] += r["n"]
+        elif r["a"][0] == "#":
             chain[int(r["a"][1:]), r["b"]] += r["n"]
         else:
             local.setdefault(r["a"], np.full(labels, smoothing))[r["b"]] += r["n"]
@@ -255,7 +295,7 @@ def train(docs: DataFrame, text_col: str = "text", smoothing: float = 1.0, floor
     pmi = np.log(chain) - np.log(chain.sum(1))[:, None] - np.log(chain.sum(0))[None, :]
     even = np.full(labels, floor)
     even[O] = 1.0
-    return Field({k: np.log(np.maximum(v / v.sum(), floor)) for k, v in local.items()}, np.log(even / even.sum()), np.clip(pmi, -1.0, 1.0))
+    return Field({k: np.log(np.maximum(v / v.sum(), floor)) for k, v in local.items()}, np.log(even / even.sum()), np.clip(pmi, -1.0, 1.0), skip=float(np.log(alike[1] / alike[0])))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
@@ -300,7 +340,11 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", field: Field | None = None) -> DataFrame:
-    """``docs`` with personal data replaced in the text; ``length_col``, if any, is the new text's length (null texts keep theirs)."""
+    """``docs`` with personal data replaced in the text; ``length_col``, where the table has it, becomes the new text's length.
+
+    Null texts stay null and keep their length, empty ones stay empty; repeated rows, null ids and all other columns stay as they are; an
+    empty table gives no rows.
+    """
     field = field or train(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -312,8 +356,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
             new = [t if not t or not _ANY.search(t) else mask(t, field.spans(t, base_spans(t))) for t in texts]
             columns = list(part.columns)
             columns[at] = pa.array(new, pa.string())
-            if length_col:
-                k = part.schema.get_field_index(length_col)
+            if (k := part.schema.get_field_index(length_col) if length_col else -1) >= 0:
                 columns[k] = pa.array([x if t is None else len(t) for t, x in zip(new, part.column(k).to_pylist())], part.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 

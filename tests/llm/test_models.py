@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -149,6 +150,72 @@ def test_messages_give_exact_marginals_on_a_tree():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_messages_around_a_loop_stay_close_to_exact_marginals():
+    """Tokens 0 and 2 are alike, 1 and 3 too, and neighbours form a chain: four nodes with two loops, against all labellings."""
+    rng = np.random.default_rng(5)
+    n = pii.O + 1
+    for _ in range(6):
+        field = pii.Field({s: rng.normal(size=n) for s in "ab"}, np.zeros(n), rng.normal(size=(n, n)) * 0.3, skip=1.5)
+        nodes = [pii.Token(i, i + 1, (f"k{i % 2}",), s, pii.O) for i, s in enumerate("abab")]
+        chain, skip = pii.edges(nodes)
+        assert chain == [(0, 1), (1, 2), (2, 3)] and skip == [(0, 2), (1, 3)]
+        got = field.label(nodes, rounds=500)
+        want = np.zeros((4, n))
+        for x in np.ndindex(*[n] * 4):
+            weight = math.exp(sum(field.local[t.shape][x[i]] for i, t in enumerate(nodes)) + sum(field.chain[x[i], x[j]] for i, j in chain) + sum(field.skip * (x[i] == x[j]) for i, j in skip))
+            for i in range(4):
+                want[i, x[i]] += weight
+        want /= want.sum(1, keepdims=True)
+        assert np.abs(got - want).max() < 0.1 and (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_taken_stretches_and_names_against_plain_versions():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 8)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = rng.randrange(60)
+            b = a + rng.randint(1, 5)
+            assert taken.free(a, b) == all(b <= x or a >= y for x, y in spans)
+        names = {"".join(rng.choice("ab.1") for _ in range(rng.randint(2, 4))) for _ in range(3)}
+        text = "".join(rng.choice("ab.1@ ,") for _ in range(40))
+        pattern = re.compile(r"(?<![a-z0-9._%+@-])(?:" + "|".join(map(re.escape, sorted(names, key=lambda x: (-len(x), x)))) + r")(?![a-z0-9_%+@-])(?!\.[a-z0-9])")
+        assert list(pii._names(text, names)) == [m.span() for m in pattern.finditer(text)], (text, names)
+
+
+def test_agreement_is_learned_from_alike_tokens(spark):
+    """Each document has a card twice: 60 pairs that agree raise the odds; nothing else is alike."""
+    docs = spark.createDataFrame([(i, f"pay 4041894974608795 or 4041 8949 7460 8795, order {i}") for i in range(60)], "doc_id long, text string")
+    assert pii.train(docs).skip == pytest.approx(math.log(460)) and pii.train(docs.limit(0)).skip == pytest.approx(math.log(400))
+
+
+def test_masking_edge_cases(spark):
+    text = "mail jo.doe7@mail.example.com " * 3
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, "x" * 300_000 + " " + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'kept' as spans")
+    got = pii.mask_pii(docs)  # no n_chars in this table
+    assert got.columns == ["doc_id", "text", "spans"] and pii.mask_pii(docs.limit(0)).count() == 0
+    out = sorted((str(r["doc_id"]), len(r["text"] or ""), r["text"]) for r in got.collect() if r["text"] is not None)
+    masked = "mail [EMAIL] " * 3
+    assert out == sorted([("1", len(masked), masked)] * 2 + [("None", len(masked), masked), ("3", 0, ""), ("4", 300_001 + len(masked), "x" * 300_000 + " " + masked)])
+
+
+def test_long_documents_take_time_in_proportion():
+    parts = [f"mail user{i % 90}.x@mail{i % 7}.example.com or +1 (342) 555-{i % 1000:04d} and 1-342-555-{i % 1000:04d} then" for i in range(2000)]
+    field = pii.Field({}, np.zeros(pii.O + 1), np.zeros((pii.O + 1,) * 2))
+
+    def seconds(text):
+        began = time.process_time()
+        base = pii.base_spans(text)
+        pii.tokens(text, base)
+        return time.process_time() - began
+
+    text = " ".join(parts)
+    seconds(text)
+    assert seconds(text * 4) < 12 * seconds(text) + 0.5 and len(field.spans(text, pii.base_spans(text))) >= 4000
+
+
 def test_field_spreads_labels_to_repeats(spark):
     rows = [(i, f"Call +1 (342) 555-{1000 + i} or mail ab.{i}x@mail.example.com or pay 4041894974608795 at 10.0.0.{i}") for i in range(40)]
     rows.append((50, "Call +1 (342) 555-1234 or 1-342-555-1234 today. Order 123456789012. Mail bosbt.42@mail8.example.com, bosbt.42 says hi."))
