@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,23 +117,32 @@ def test_match_guarantee():
         assert set(winnow.winnow(a, 8, 8)[0].tolist()) & set(winnow.winnow(b, 8, 8)[0].tolist())
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_edit_fingerprints(spark, partitions):
+def plain_likeness(a, b):
+    x, y = (Counter(h for h, _ in plain_winnow(t, 8, 8)) for t in (a, b))
+    return (x & y).total() / (x | y).total() if x or y else 1.0
+
+
+@pytest.mark.parametrize("range_bytes", [10_000_000, 500, 60])
+def test_edit_fingerprints(spark, range_bytes):
+    """All columns by brute force, with null and repeated ids, repeated rows and more ranges than rows."""
     rng = random.Random(4)
-    rows = [(i * 3, "".join(rng.choice("abc é🙂") for _ in range(rng.randint(0, 90)))) for i in range(40)] + [(200, None), (201, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as fingerprint", "1 as bucket").repartition(partitions)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    got = {r["doc_id"]: r for r in winnow.edit_fingerprints(docs).collect()}
-    spark.conf.set("spark.sql.shuffle.partitions", old)
-    own = {t: winnow.fingerprint_digest(*winnow.winnow(t, 8, 8)) for _, t in rows if t is not None}
-    for k, (i, text) in enumerate(rows):
-        text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
-        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
-        r = got[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), own[text])
-        assert r["edited_fingerprint"] == winnow.fingerprint_digest(*winnow.winnow(edited, 8, 8))
-        assert 0 <= r["near_edited"] <= 1 and (edited != text or r["near_edited"] == 1)
-    single = docs.where("doc_id = 3")
-    assert winnow.edit_fingerprints(single).first()["near_next"] == 1
+    text = lambda n: "".join(rng.choice("abc é🙂") for _ in range(rng.randint(0, n)))
+    rows = [(i * 3, text(90)) for i in range(40)] + [(200, None), (201, ""), (None, text(50)), (None, text(50)), (None, None), (15, "twice"), (15, "twice"), (15, text(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as fingerprint", "1 as part").repartition(5)
+    ties = {r["t"]: r["h"] for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
+    want = []
+    for (i, own), (_, after) in zip(order, order[1:] + order[:1]):
+        edited = own[: len(own) - len(own) // 4] + after[: len(own) // 4]
+        prints = [winnow.fingerprint_digest(*winnow.winnow(t, 8, 8)) for t in (own, edited)]
+        want.append((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), *prints, round(plain_likeness(own, edited), 9), round(plain_likeness(own, after), 9)))
+    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in winnow.edit_fingerprints(docs, range_bytes=range_bytes).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_edit_fingerprints_of_few_and_long_texts(spark):
+    docs = spark.createDataFrame([(3, "x"), (4, "ab c" * 60_000)], "doc_id long, text string")
+    assert winnow.edit_fingerprints(docs.where("doc_id = 3")).first()["near_next"] == 1
     assert winnow.edit_fingerprints(docs.limit(0)).count() == 0
+    long = winnow.edit_fingerprints(docs).where("doc_id = 4").first()
+    assert long["n_chars"] == 240_000 and 0.5 < long["near_edited"] <= 1 and long["n_selected"] > 30_000
