@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,35 +15,54 @@ DROP = [
     "Driver", "Team", "EventName", "SessionType", "Time", "LapTime", "LapTime_s", "delta_to_fastest_s", "PitOutTime", "PitInTime", "Sector1Time", "Sector2Time", "Sector3Time", "Compound",
 ]
 NULL_NAME = "None"
-WIDE = 500  # categories above which a vector column is the better form
+WIDE = 500  # categories above which there is one vector column instead of a column for each
+
+
+def _named(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(NULL_NAME))
 
 
 class OneHot:
-    """One 0/1 float column for each category seen; originals stay, unseen categories are all 0, null is a category."""
+    """One 0/1 float column for each category seen; originals stay, unseen categories are all 0, null is a category.
 
-    def __init__(self, columns: tuple[str, ...] = ("Compound", "EventName", "Team")):
-        self.columns = columns
+    A column of more than ``wide`` categories becomes one sparse vector column ``<column>_vector`` with a place for each category
+    (in alphabetical order), by Spark ML's indexer and encoder, which keep the vocabulary out of the plan.
+    """
+
+    def __init__(self, columns: tuple[str, ...] = ("Compound", "EventName", "Team"), wide: int = WIDE):
+        self.columns, self.wide = columns, wide
         self.values: dict[str, list[str]] | None = None
+        self.vectors: dict[str, PipelineModel] = {}
 
     def fit(self, df: DataFrame) -> OneHot:
         require(df, list(self.columns))
-        found = df.agg(*(F.sort_array(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(NULL_NAME)))).alias(c) for c in self.columns)).first()
-        self.values = {c: list(found[c]) for c in self.columns}
-        if big := [c for c, v in self.values.items() if len(v) > WIDE]:
-            raise ValueError(f"too many categories for columns, use a vector encoder: {', '.join(big)}")
+        # Different values are counted before any of them comes to the driver, and no more than ``wide`` come.
+        named = df.select(*(_named(c).alias(c) for c in self.columns))
+        counts = named.agg(*(F.count_distinct(c).alias(c) for c in self.columns)).first()
+        self.vectors = {c: self._vector(c).fit(named.where(F.lit(counts[c] > self.wide))) for c in self.columns if counts[c] > self.wide}
+        self.values = {c: [r[0] for r in named.select(c).distinct().orderBy(c).collect()] for c in self.columns if c not in self.vectors}
         return self
 
+    def _vector(self, column: str) -> Pipeline:
+        # Unseen categories have the last index, which the encoder drops.
+        index = StringIndexer(inputCol=column, outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="keep")
+        return Pipeline(stages=[index, OneHotEncoder(inputCol="__index", outputCol="__hot", dropLast=True)])
+
     def names(self) -> list[str]:
         if self.values is None:
             raise RuntimeError("fit the encoder first")
-        return [f"{c}_{v}" for c in self.columns for v in self.values[c]]
+        return [n for c in self.columns for n in ([f"{c}_vector"] if c in self.vectors else [f"{c}_{v}" for v in self.values[c]])]
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.values is None:
             raise RuntimeError("fit the encoder first")
         require(df, list(self.columns))
-        hot = [F.when(F.coalesce(F.col(c).cast("string"), F.lit(NULL_NAME)) == v, 1.0).otherwise(0.0).cast("float").alias(f"{c}_{v}") for c in self.columns for v in self.values[c]]
-        return df.select("*", *hot)
+        hot = [F.when(_named(c) == v, 1.0).otherwise(0.0).cast("float").alias(f"{c}_{v}") for c in self.columns if c in self.values for v in self.values[c]]
+        out = df.select("*", *hot)
+        for c, model in self.vectors.items():
+            own = out.withColumnRenamed(c, "__own").withColumn(c, _named("__own"))
+            out = model.transform(own).drop(c, "__index").withColumnsRenamed({"__own": c, "__hot": f"{c}_vector"})
+        return out.select(*df.columns, *self.names())
 
 
 def feature_columns(df: DataFrame, drop: list[str] = DROP) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.session import grouped, over_keys, session_keys
+from paceline.session import grouped, keys_present, over_keys, session_keys
 
 
 def rolling_pace(df: DataFrame, short: int = 3, long: int = 5, exclude_current: bool = False) -> DataFrame:
@@ -39,16 +39,16 @@ def normalised_tyre_life(df: DataFrame) -> DataFrame:
 def track_evolution(df: DataFrame, window: int = 5, fastest: int = 3) -> DataFrame:
     """Change of the field's pace (median of the fastest times of a lap) against ``window`` laps before; 0 at first.
 
-    Windows within the session alone: laps run in the session are numbered, and a range frame over these numbers looks back.
+    The pace of each lap number is a small table of its own, joined back; nothing is sorted by session but that table.
     """
     keys = session_keys(df)
     by_lap = [*keys, "LapNumber"]
-    rank = F.when(F.col("LapTime_s").isNotNull(), F.row_number().over(Window.partitionBy(*by_lap).orderBy(F.col("LapTime_s").asc_nulls_last())))
-    staged = df.withColumn("__rank", rank).withColumn("__pace", over_keys(F.median(F.when(F.col("__rank") <= fastest, F.col("LapTime_s"))), by_lap))
-    staged = staged.withColumn("__lap", F.when(F.col("LapNumber").isNotNull(), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("LapNumber").asc_nulls_last()))))
-    before = F.max("__pace").over(Window.partitionBy(*keys).orderBy("__lap").rangeBetween(-window, -window))
-    factor = F.when(F.col("__lap").isNotNull(), F.col("__pace") - before)
-    return staged.select(*df.columns, F.coalesce(factor, F.lit(0.0)).alias("track_evolution_factor"))
+    known = df.where(keys_present(by_lap)).select(*by_lap, "LapTime_s")
+    best = Window.partitionBy(*by_lap).orderBy(F.col("LapTime_s").asc_nulls_last())
+    pace = known.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= fastest).groupBy(*by_lap).agg(F.median("LapTime_s").alias("__pace"))
+    before = F.lag("__pace", window).over(Window.partitionBy(*keys).orderBy("LapNumber"))
+    factor = pace.select(*by_lap, F.coalesce(F.col("__pace") - before, F.lit(0.0)).alias("track_evolution_factor"))
+    return df.join(factor, by_lap, "left").select(*df.columns, F.coalesce("track_evolution_factor", F.lit(0.0)).alias("track_evolution_factor"))
 
 
 def brake_wear(df: DataFrame, window: int = 3) -> DataFrame:

@@ -33,11 +33,11 @@ def fill_compound(df: DataFrame) -> DataFrame:
     return df.withColumn("Compound", F.coalesce("Compound", mode))
 
 
-def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, ...] = ("Driver", "EventName"), long_sessions: bool = False, approx: bool = False) -> DataFrame:
+def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, ...] = ("Driver", "EventName"), approx: bool = False) -> DataFrame:
     """Group medians, then the session's median of the column so filled.  Without the group columns the second step is the only one.
 
-    Sessions are short, so both are windows within the session and need no exchange where rows lie by session.  For
-    ``long_sessions`` the session's medians are an aggregate joined back instead, which no single task has to sort.
+    The first is a window, which needs no exchange where rows lie by session and driver; the second is an aggregate
+    joined back, so no task has to hold a session.
     """
     columns = [c for c in columns if c in df.columns]
     median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
@@ -45,8 +45,6 @@ def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, .
         keys = grouped(df, list(groups))
         df = df.withColumns({c: F.coalesce(c, over_keys(median(c), keys)) for c in columns})
     outer_keys = session_keys(df)
-    if outer_keys and not long_sessions:
-        return df.withColumns({c: F.coalesce(c, over_keys(median(c), outer_keys)) for c in columns})
     outer = df.groupBy(*outer_keys).agg(*(median(c).alias(f"__s_{c}") for c in columns))
     joined = df.join(outer, outer_keys, "left") if outer_keys else df.join(F.broadcast(outer))
     return joined.withColumns({c: F.coalesce(c, f"__s_{c}") for c in columns}).select(*df.columns)

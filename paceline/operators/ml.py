@@ -29,7 +29,7 @@ def linear(names: list[str], ridge: float = 0.0, weight: str | None = None, targ
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), model])
 
 
-def boosted(names: list[str], rounds: int = 100, depth: int = 6, step: float = 0.05, sample: float = 0.8, weight: str | None = None, target: str = TARGET, seed: int = 42) -> Pipeline:
+def boosted(names: list[str], rounds: int = 50, depth: int = 6, step: float = 0.05, sample: float = 0.8, weight: str | None = None, target: str = TARGET, seed: int = 42) -> Pipeline:
     """Gradient-boosted trees."""
     model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, seed=seed)
     if weight:
@@ -48,10 +48,10 @@ def scored(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", name).drop("features", "scaled")
 
 
-def stacked(df: DataFrame, names: list[str], order: list[str], k: int = 5, rounds: int = 20, target: str = TARGET) -> tuple[list[PipelineModel], PipelineModel]:
+def stacked(df: DataFrame, names: list[str], order: list[str], k: int = 5, rounds: int = 10, target: str = TARGET) -> tuple[list[PipelineModel], PipelineModel]:
     """Base models on all rows, and a ridge model on their out-of-fold predictions."""
     bases = {"base_linear": linear(names, target=target), "base_boosted": boosted(names, rounds, target=target)}
-    numbered = folds(df, order, k)
+    numbered = folds(df, order, k).persist()  # read by every fit
     out = None
     for i in range(k):
         train, rest = numbered.where(F.col("fold") != i), numbered.where(F.col("fold") == i)
@@ -59,7 +59,9 @@ def stacked(df: DataFrame, names: list[str], order: list[str], k: int = 5, round
             rest = scored(base.fit(train), rest, name)
         out = rest if out is None else out.unionByName(rest)
     meta = linear(list(bases), ridge=1.0, target=target).fit(out.select(*bases, target))
-    return [base.fit(df) for base in bases.values()], meta
+    models = [base.fit(numbered) for base in bases.values()]
+    numbered.unpersist()
+    return models, meta
 
 
 def predict_stacked(models: tuple[list[PipelineModel], PipelineModel], df: DataFrame, name: str) -> DataFrame:
@@ -68,7 +70,7 @@ def predict_stacked(models: tuple[list[PipelineModel], PipelineModel], df: DataF
     return scored(models[1], df, name).drop("base_linear", "base_boosted")
 
 
-def searched(df: DataFrame, names: list[str], order: list[str], depths=(3, 5), steps=(0.05, 0.1), rounds: int = 20, k: int = 3, target: str = TARGET):
+def searched(df: DataFrame, names: list[str], order: list[str], depths=(3, 5), steps=(0.05, 0.1), rounds: int = 10, k: int = 3, target: str = TARGET):
     """Grid search over depth and step by MAE in unshuffled folds: the fitted CrossValidatorModel."""
     pipe = boosted(names, rounds, target=target)
     tree = pipe.getStages()[-1]

@@ -13,11 +13,11 @@ from paceline.session import SESSION, session_keys
 def run_cleaning(raw: DataFrame) -> DataFrame:
     """Raw laps to clean laps: seconds, names, filters, fills.
 
-    The rows are dealt out by session once; all windows of the filters and fills keep to that.  Sessions are short
-    (drivers times laps), so no task grows with the data.
+    The rows are dealt out by session and driver once; all windows of the filters and fills keep to that.  What is left of the
+    session is a median of each speed, an aggregate joined back.
     """
     laps = scalar.standard_teams(scalar.standard_drivers(scalar.times_to_seconds(raw)))
-    if keys := session_keys(laps):
+    if keys := [*session_keys(laps), *(["Driver"] if "Driver" in laps.columns else [])]:
         laps = laps.repartition(*keys)
     return impute.impute(filters.apply_filters(laps))
 
@@ -28,17 +28,20 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     return filters.filter_report(laps).select(*session_keys(laps), F.col("total_laps").alias("raw_rows"), F.col("kept_laps").alias("clean_rows"), "retention_pct")
 
 
-def run_features(clean: DataFrame, weather: DataFrame, results: DataFrame, strain_before_weather: bool = False, encoder: encode.OneHot | None = None) -> DataFrame:
+def run_features(clean: DataFrame, weather: DataFrame, results: DataFrame, strain_before_weather: bool = False, encoder: encode.OneHot | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """Clean laps to the feature matrix.
 
-    The as-of join comes first: its exchange deals rows out by session, and the windows of all other features keep to that.
+    Track evolution comes first, from a narrow table of lap times, then the as-of join, in time buckets of ``bucket_seconds`` so that a long
+    series spreads.  Then rows are dealt out by session and driver once; the windows keep to that, and further joins are with small tables.
     """
-    laps = scalar.strain_index(clean) if strain_before_weather else clean
-    laps = joins.add_weather(laps, weather)
+    laps = features.track_evolution(clean)
+    laps = scalar.strain_index(laps) if strain_before_weather else laps
+    laps = joins.add_weather(laps, weather, bucket_seconds=bucket_seconds)
+    laps = laps.repartition(*session_keys(laps), "Driver")
     laps = laps if strain_before_weather else scalar.strain_index(laps)
     laps = features.gap_to_fastest(features.rolling_pace(laps))
     laps = features.normalised_tyre_life(features.degradation_slope(laps))
-    laps = features.track_evolution(features.brake_wear(laps))
+    laps = features.brake_wear(laps)
     results = scalar.standard_teams(results, "TeamName") if "TeamName" in results.columns else results
     laps = scalar.grid_flags(joins.add_grid(joins.add_points(laps, results), results))
     return encoder.transform(laps) if encoder else laps

@@ -89,6 +89,17 @@ def a2_idempotent_write(s, d):
     return tables.read_table(s, base, "laps").groupBy(*SESSION).agg(F.count("*").alias("n"))
 
 
+@query(sql("laps", f"select {S3}, count(*) as n, true as refused from laps group by all"))
+def a3_refuse_empty_write(s, d):
+    base, rows, refused = _store(s), A.laps(s, d).select(*SESSION, "event_id"), False
+    tables.write_table(rows, base, "laps")
+    try:
+        tables.write_table(rows.where("event_id is null"), base, "laps", overwrite=True)
+    except ValueError:
+        refused = True
+    return tables.read_table(s, base, "laps").groupBy(*SESSION).agg(F.count("*").alias("n"), F.lit(refused).alias("refused"))
+
+
 @query(sql("laps", "select Season, RoundNumber, event_id from laps where RoundNumber = 5"))
 def a4_pruned_read(s, d):
     base = _store(s)
@@ -219,12 +230,13 @@ def b14_text_search(s, d):
     return A.laps(s, d).where(scalar.text_match("Mer", "Driver", "TeamRaw")).select("event_id", "Driver", "TeamRaw")
 
 
-@query(sql("results", """, w as (select distinct Season, RoundNumber from results), own as (select * from results where RoundNumber % 2 = 0), have as (select distinct Season, RoundNumber from own),
+@query(sql("results", """, w as (select distinct Season, RoundNumber from results union select Season, RoundNumber + 1 from results), own as (select * from results), have as (select distinct Season, RoundNumber from own),
 f as (select w.Season, w.RoundNumber, coalesce(h.RoundNumber, w.RoundNumber - 1) as source_round from w left join have h on h.Season = w.Season and h.RoundNumber = w.RoundNumber)
 select f.Season, f.RoundNumber, source_round, Abbreviation as Driver, TeamName as Team from f join own on own.Season = f.Season and own.RoundNumber = source_round"""))
 def b15_entry_list(s, d):
     r = A.results(s, d).select("Season", "RoundNumber", F.col("Abbreviation").alias("Driver"), F.col("TeamName").alias("Team"))
-    return filters.entry_list(r, r.where("RoundNumber % 2 = 0"))
+    # The round after each is asked for as well: after the last one its own results are missing.
+    return filters.entry_list(r.union(r.withColumn("RoundNumber", F.col("RoundNumber") + 1)), r)
 
 
 # --- scalar functions
@@ -612,7 +624,7 @@ def h10_residual_spread(s, d):
     return standings.residual_spread(res(s, d)).select(*SESSION, *r6("bias_s", "std_s"))
 
 
-@query()
+@query(sql("laps", "select event_id, Driver, LapTime_s from laps order by md5(cast(event_id as varchar) || ':42'), event_id limit 500"))
 def h11_seeded_sample(s, d):
     return profile.seeded_sample(A.laps(s, d).select("event_id", "Driver", "LapTime_s"), ["event_id"], 500)
 
@@ -686,37 +698,49 @@ def j6_linear_baseline(s, d):
 @query()
 def j7_j10_boosted_importances(s, d):
     x, names = _xy(s, d)
-    return ml.importances(ml.boosted(names, rounds=5, depth=4).fit(x), names, s)
+    return ml.importances(ml.boosted(names).fit(x), names, s)
 
 
 @query()
 def j8_stacked(s, d):
     x, names = _xy(s, d)
-    models = ml.stacked(x, names, ["event_id"], k=3, rounds=3)
+    models = ml.stacked(x, names, ["event_id"])
     return ml.predict_stacked(models, x, "predicted").select("event_id", "LapTime_s", "predicted")
 
 
 @query()
 def j9_search(s, d):
     x, names = _xy(s, d)
-    found = ml.searched(x, names, ["event_id"], depths=(2, 3), steps=(0.1,), rounds=3)
+    found = ml.searched(x, names, ["event_id"])
     return s.createDataFrame([(i, float(m)) for i, m in enumerate(found.avgMetrics)], "candidate int, mae double")
 
 
-@query()
+# As in j6 the target is found itself, so its band has no width.
+@query(sql("laps", f"select event_id, Driver, {', '.join(f'round(LapTime_s, 4) as {c}' for c in ('predicted', 'predicted_p05', 'predicted_p50', 'predicted_p95'))} from laps where LapTime_s is not null"))
 def j11_j12_save_load_quantiles(s, d):
     x, names = _xy(s, d)
     path = _store(s)
-    ml.linear(names[:3], ridge=0.01).fit(x).write().save(path)
+    ml.linear(names).fit(x).write().save(path)
     out = ml.scored(ml.PipelineModel.load(path), x, "predicted")
-    return ml.quantile_band(out, out, "predicted", "Driver").select("event_id", "Driver", "predicted", "predicted_p05", "predicted_p50", "predicted_p95")
+    band = ml.quantile_band(out, out, "predicted", "Driver")
+    return band.select("event_id", "Driver", *(F.round(c, 4).alias(c) for c in ("predicted", "predicted_p05", "predicted_p50", "predicted_p95")))
 
 
-@query()
+@query(sql("preds", f""", q as (select Driver, quantile_cont(LapTime_s - pred_s, [0.05, 0.5, 0.95]) as q from preds where LapTime_s is not null and pred_s is not null group by all)
+select {S4}, LapNumber, {q6('least(pred_s + coalesce(q[1], 0), pred_s + coalesce(q[2], 0))').split(' as ')[0]} as pred_s_p05, round(pred_s + coalesce(q[2], 0), 6) as pred_s_p50, round(greatest(pred_s + coalesce(q[3], 0), pred_s + coalesce(q[2], 0)), 6) as pred_s_p95
+from preds left join q using (Driver)"""))
+def j12_quantile_band(s, d):
+    own = preds(s, d).drop("pred_p05", "pred_p95")
+    return ml.quantile_band(own, own, "pred_s", "Driver").select(*K4, "LapNumber", *r6("pred_s_p05", "pred_s_p50", "pred_s_p95"))
+
+
+@query(sql("laps", """, w as (select event_id, LapTime_s, exp(-0.07 * ((2025 - Season) * 24 + (1 - RoundNumber))) as r from laps where LapTime_s is not null)
+select event_id, round(r / (select avg(r) from w), 6) as weight, round(LapTime_s, 4) as predicted from w"""))
 def j13_weighted_fit(s, d):
     x, names = _xy(s, d)
     x = scalar.recency_weights(x, 2025, 1)
-    return ml.scored(ml.linear(names[:3], weight="weight").fit(x), x, "predicted").select("event_id", "weight", "predicted")
+    out = ml.scored(ml.linear(names, weight="weight").fit(x), x, "predicted")
+    return out.select("event_id", *r6("weight"), F.round("predicted", 4).alias("predicted"))
 
 
 # --- artifacts
@@ -733,10 +757,13 @@ def k2_predicted_positions(s, d):
     return artifacts.predicted_positions(joins.add_grid(ordered(s, d), A.results(s, d)), 57)
 
 
-@query(sql("grid", f"select {S3}, lap, max(position) filter (Driver = 'D00') as D00, max(position) filter (Driver = 'D01') as D01, max(position) filter (Driver = 'D02') as D02 from grid group by all"))
+_DRIVERS = [f"D{i:02d}" for i in range(20)]
+
+
+@query(sql("grid", f"select {S3}, lap, {', '.join(f"max(position) filter (Driver = '{x}') as {x}" for x in _DRIVERS)} from grid group by all"))
 def k3_pivot(s, d):
     laps = A.laps(s, d)
-    return artifacts.pivot_laps(artifacts.lap_positions(laps, A.results(s, d), standings.total_laps(laps)), ["D00", "D01", "D02"])
+    return artifacts.pivot_laps(artifacts.lap_positions(laps, A.results(s, d), standings.total_laps(laps)), _DRIVERS)
 
 
 @query(sql("results", f"select {S3}, count(*) as n, string_agg(Abbreviation, ',' order by Position) as drivers from results group by all"))
@@ -747,28 +774,50 @@ def k4_official_results(s, d):
 
 # --- whole jobs
 
-@query()
+_SPEEDS = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
+
+
+@query(sql("clean", f"select * exclude (Time) replace ({q6(*_SPEEDS)}) from clean"))
 def l1_run_cleaning(s, d):
-    return pipelines.run_cleaning(A.laps(s, d)).drop("Time")
+    return pipelines.run_cleaning(A.laps(s, d)).drop("Time").withColumns(dict(zip(_SPEEDS, r6(*_SPEEDS))))
 
 
-@query()
+def _over_clean(name: str, needs: str = "laps") -> str:
+    """The SQL of another query, over clean laps."""
+    body = ORACLE_SQL[name].removeprefix(sql(needs, "").replace(", 6)", f" + {TIE}, 6)")).replace(f" + {TIE}, 6)", ", 6)")
+    return f"(with laps as (select * from clean) {body})"
+
+
+_STEPS = {
+    "f1_rolling_pace": "laps", "f2_gap_to_fastest": "laps", "f4_tyre_life_norm": "laps", "f5_e7_track_evolution": "laps", "f6_brake_wear": "laps", "c7_strain_index": "laps weather",
+    "e1_weather_as_of": "laps weather", "e5_historical_points": "laps results", "e6_grid_join": "laps results",
+}
+_ROUND6 = ["roll_laptime_3", "roll_laptime_5", "roll_std_3", "delta_roll_pace", "delta_to_fastest_s", "tyre_life_norm", "track_evolution_factor", "pu_strain_index"]
+_L2 = ", ".join(["", *(f"{n} as {_over_clean(n, needs)}" for n, needs in _STEPS.items()), f"f3 as (select event_id, tyre_deg_slope from {_over_clean('f3_degradation_slope')})"])
+_L2 += f""" select * exclude (Time) replace ({q6(*_SPEEDS)}), cast(GridPosition <= 2 as integer) as is_front_row, cast(GridPosition <= 10 as integer) as is_top10_start, GridPosition - 1 as grid_gap_to_pole,
+ {', '.join(f"cast(coalesce(Compound, 'None') = '{v}' as integer) as Compound_{v}" for v in _HOT)}, {', '.join(f"cast(Team = 'T{i}' as integer) as Team_T{i}" for i in range(10))}
+ from clean {' '.join(f'join {n} using (event_id)' for n in [*_STEPS, 'f3'])}"""
+
+
+@query(sql("clean weather results", _L2))
 def l2_run_features(s, d):
     laps = A.laps(s, d)
     clean = pipelines.run_cleaning(laps)
     hot = encode.OneHot(("Compound", "Team")).fit(laps)
-    return pipelines.run_features(clean, A.weather(s, d), A.results(s, d), encoder=hot).drop("Time")
+    out = pipelines.run_features(clean, A.weather(s, d), A.results(s, d), encoder=hot).drop("Time")
+    shown = {c: F.round(F.col(c) + TIE, 6) for c in [*_SPEEDS, *_ROUND6]} | {"tyre_deg_slope": F.round("tyre_deg_slope", 5), "brake_wear_proxy": F.round(F.col("brake_wear_proxy") + 1e-7, 4)}
+    return out.withColumns(shown | {c: F.col(c).cast("double") for c in ("DriverPointsPreRace", "TeamPointsPreRace")})
 
 
-@query(sql("laps", f"select {S3}, count(*) as laps, count(*) filter (SpeedI1 > 295) as violations, count(*) filter (SpeedI1 > 295) = 0 as success from laps where RoundNumber <= 20 group by all"))
+@query(sql("laps", f"select {S3}, count(*) as laps, count(*) filter (SpeedI1 > 295) as violations, count(*) filter (SpeedI1 > 295) = 0 as success from laps group by all"))
 def l3_ingest(s, d):
     rules = [validate.Rule("Driver", "string", True, length=(2, 3)), validate.Rule("SpeedI1", "double", low=0, high=295)]
-    return pipelines.ingest(A.laps(s, d), list(range(1, 21)), rules)[1]
+    return pipelines.ingest(A.laps(s, d), None, rules)[1]
 
 
 @query()
 def l4_predict_season(s, d):
-    return pipelines.predict_season(_seasons(s, d), [2024], 2025, rounds=3)
+    return pipelines.predict_season(_seasons(s, d), [2024], 2025)
 
 
 @query(sql("res", _G5))

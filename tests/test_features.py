@@ -77,6 +77,18 @@ def test_one_hot(spark):
         hot.transform(df.drop("Compound"))
 
 
+def test_one_hot_of_many_categories(spark):
+    df = spark.createDataFrame([(f"t{i:03d}", "SOFT" if i % 2 else None, i) for i in range(40)] + [(None, "HARD", 99)], "Team string, Compound string, n int")
+    hot = encode.OneHot(("Compound", "Team"), wide=10).fit(df)
+    assert hot.names() == ["Compound_HARD", "Compound_None", "Compound_SOFT", "Team_vector"]
+    out = hot.transform(df.union(spark.createDataFrame([("new", "SOFT", 100)], df.schema)))
+    rows = {r["n"]: r for r in out.collect()}
+    assert out.columns == [*df.columns, *hot.names()] and len(rows) == 42
+    # Alphabetical: "None" for null comes before the teams.
+    assert all(rows[i]["Team_vector"].toArray().tolist() == [float(k == i + 1) for k in range(41)] for i in range(40))
+    assert rows[99]["Team_vector"].toArray()[0] == 1 and rows[99]["Team"] is None and rows[100]["Team_vector"].toArray().sum() == 0
+
+
 def test_matrix_and_split(spark):
     df = spark.createDataFrame([(2023, 1, "A", 90.0, 1.0), (2024, 1, "A", None, 2.0), (2024, 2, "B", 91.0, 3.0)], "Season int, LapNumber int, Driver string, LapTime_s double, TyreLife double")
     assert encode.feature_matrix(df).columns == ["Season", "LapNumber", "TyreLife", "LapTime_s"]
