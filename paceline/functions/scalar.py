@@ -10,18 +10,43 @@ from paceline.session import require
 
 TIME_COLUMNS = ["LapTime", "Sector1Time", "Sector2Time", "Sector3Time", "PitInTime", "PitOutTime"]
 
-# Canonical team names and the spellings that stand for them.
-TEAM_VARIANTS = {
-    "Red Bull": ["Red Bull Racing", "Oracle Red Bull Racing", "Red Bull Racing Honda"],
-    "Mercedes": ["Mercedes", "Mercedes-AMG Petronas F1 Team", "Mercedes-AMG Petronas"],
-    "Ferrari": ["Ferrari", "Scuderia Ferrari", "Scuderia Ferrari HP"],
-    "McLaren": ["McLaren", "McLaren F1 Team", "McLaren Mercedes"],
-    "Aston Martin": ["Aston Martin", "Aston Martin Aramco", "Aston Martin F1 Team"],
-    "Alpine": ["Alpine", "Alpine F1 Team", "Renault", "BWT Alpine F1 Team"],
-    "Williams": ["Williams", "Williams Racing"],
-    "RB": ["AlphaTauri", "Scuderia AlphaTauri", "Scuderia AlphaTauri Honda", "RB", "Visa Cash App RB", "Toro Rosso"],
-    "Sauber": ["Alfa Romeo", "Alfa Romeo Racing", "Sauber", "Kick Sauber", "Stake F1 Team Kick Sauber"],
-    "Haas": ["Haas F1 Team", "Haas", "MoneyGram Haas F1 Team"],
+# Spellings of team names and the canonical name of each.
+TEAM_NAMES = {
+    "Red Bull Racing": "Red Bull",
+    "Oracle Red Bull Racing": "Red Bull",
+    "Red Bull Racing Honda": "Red Bull",
+    "Mercedes": "Mercedes",
+    "Mercedes-AMG Petronas F1 Team": "Mercedes",
+    "Mercedes-AMG Petronas": "Mercedes",
+    "Ferrari": "Ferrari",
+    "Scuderia Ferrari": "Ferrari",
+    "Scuderia Ferrari HP": "Ferrari",
+    "McLaren": "McLaren",
+    "McLaren F1 Team": "McLaren",
+    "McLaren Mercedes": "McLaren",
+    "Aston Martin": "Aston Martin",
+    "Aston Martin Aramco": "Aston Martin",
+    "Aston Martin F1 Team": "Aston Martin",
+    "Alpine": "Alpine",
+    "Alpine F1 Team": "Alpine",
+    "Renault": "Alpine",
+    "BWT Alpine F1 Team": "Alpine",
+    "Williams": "Williams",
+    "Williams Racing": "Williams",
+    "AlphaTauri": "RB",
+    "Scuderia AlphaTauri": "RB",
+    "Scuderia AlphaTauri Honda": "RB",
+    "RB": "RB",
+    "Visa Cash App RB": "RB",
+    "Toro Rosso": "RB",
+    "Alfa Romeo": "Sauber",
+    "Alfa Romeo Racing": "Sauber",
+    "Sauber": "Sauber",
+    "Kick Sauber": "Sauber",
+    "Stake F1 Team Kick Sauber": "Sauber",
+    "Haas F1 Team": "Haas",
+    "Haas": "Haas",
+    "MoneyGram Haas F1 Team": "Haas",
 }
 # Points of the first ten places; ordinal codes of tracks.
 POINTS = [25, 18, 15, 12, 10, 8, 6, 4, 2, 1]
@@ -56,16 +81,15 @@ def times_to_seconds(df: DataFrame, columns: list[str] = TIME_COLUMNS, drop_orig
     return out.drop(*there) if drop_original else out
 
 
-def standard_teams(df: DataFrame, column: str = "Team", variants: dict[str, list[str]] = TEAM_VARIANTS) -> DataFrame:
+def standard_teams(df: DataFrame, column: str = "Team", names: dict[str, str] = TEAM_NAMES) -> DataFrame:
     """Team names by their canonical spelling; unknown names stay."""
     require(df, [column])
-    table = {v: name for name, own in variants.items() for v in own}
-    return df.withColumn(column, F.coalesce(lookup(table, F.col(column)), F.col(column)))
+    return df.withColumn(column, F.coalesce(lookup(names, F.col(column)), F.col(column)))
 
 
-def unknown_teams(df: DataFrame, column: str = "Team", variants: dict[str, list[str]] = TEAM_VARIANTS) -> DataFrame:
+def unknown_teams(df: DataFrame, column: str = "Team", names: dict[str, str] = TEAM_NAMES) -> DataFrame:
     """``(team, laps)`` of names that neither are canonical nor stand for such."""
-    known = sorted({*variants, *(v for own in variants.values() for v in own)})
+    known = sorted({*names, *names.values()})
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(known)).groupBy(F.col(column).alias("team")).agg(F.count("*").alias("laps"))
 
 

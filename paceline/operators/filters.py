@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from paceline.session import grouped, over_keys, require, session_keys
 
+# Track status codes of neutralised laps, and the scale of the median absolute deviation for a normal distribution.
 NEUTRALISED = ("2", "4", "5", "6", "7")
-SCALE = 1.4826  # of the median absolute deviation, for a normal distribution
+SCALE = 1.4826
 
 
 def without_out_laps(df: DataFrame) -> DataFrame:

@@ -95,6 +95,7 @@ def event_metrics(df: DataFrame, actual: str, predicted: str, event: str | None
     return regression_metrics(rows, actual, predicted, ("Season", "EventName"))
 
 
+# Columns of which a driver's form takes the median.
 FORM = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST", "Sector1Time_s", "Sector2Time_s", "Sector3Time_s", "LapTime_s", "roll_std_3", "delta_roll_pace", "tyre_deg_slope", "tyre_life_norm"]
 
 
