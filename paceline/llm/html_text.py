@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +106,25 @@ def lines(page: str) -> list[Line]:
         buffer.clear()
         linked = 0
 
+    opened: Counter[str] = Counter()  # open elements by name, headings and main elements together as well
+
+    def push(name: str, left_out: bool, node: Node) -> None:
+        stack.append((name, left_out, node))
+        opened[name] += 1
+        opened["#heading"] += name[0] == "h" and name[1:].isdigit()
+        opened["#main"] += name in MAIN
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            name, *_ = stack.pop()
+            opened[name] -= 1
+            opened["#heading"] -= name[0] == "h" and name[1:].isdigit()
+            opened["#main"] -= name in MAIN
+
     def state() -> None:
         nonlocal outer, heading, in_link
-        heading = any(n[0] == "h" and n[1:].isdigit() for n, *_ in stack)
-        in_link = any(n == "a" for n, *_ in stack)
-        if not any(n in MAIN for n, *_ in stack):
+        heading, in_link = opened["#heading"] > 0, opened["a"] > 0
+        if not opened["#main"]:
             outer = 0
 
     at, skip = 0, False
@@ -130,22 +145,22 @@ def lines(page: str) -> list[Line]:
         if name in BLOCKS:
             flush()
         if m[1]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if where is not None:
-                del stack[where:]
+            if opened[name]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
         elif name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
         else:
             if CLOSES.get(name):
+                alike = any(opened[k] for k, v in CLOSES.items() if v == CLOSES[name])
                 stop = {"li": ("ul", "ol", "menu"), "p": BLOCKS - {"p"}}.get(name, ("table", "dl", "select"))
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if alike else ():
                     if CLOSES.get(stack[i][0]) == CLOSES[name]:
-                        del stack[i:]
+                        pop(i)
                         break
                     if stack[i][0] in stop:
                         break
             elif name in BLOCKS and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop(len(stack) - 1)
             if name in MAIN and not outer and not skip:
                 mains += 1
                 outer = mains
@@ -153,13 +168,11 @@ def lines(page: str) -> list[Line]:
             node = stack[-1][2] if stack else root
             if name in BLOCKS:
                 node = Node(node, name, (name, _class(m[3]) if m[3] else ""))
-            stack.append((name, skip_now, node))
-            if name in RAW and not skip_now:
-                skip_now = True
             if name in RAW:  # its content is no markup
                 end = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
-                stack.pop()
+            else:
+                push(name, skip_now, node)
         state()
         skip = bool(stack) and stack[-1][1]
     flush()
@@ -278,8 +291,9 @@ def extract(page: str | None, width: int = 3, surge: float = 60.0) -> str:
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", width: int = 3, surge: float = 60.0) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every row of ``pages``, by the whole html.
+    """``(page_id, url, text, n_chars)`` for every row of ``pages``, by the whole html, however long or deeply nested.
 
+    A null or empty page, and one without text, has the empty text.  Of runs of equal length the first in the page is the main one.
     Repeated rows and null ids or urls stay as they are; an empty table gives no rows; other columns are left out.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -6,6 +6,7 @@ import html
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -81,6 +82,60 @@ def test_runs_of_one_part(page, text):
     assert html_text.extract(page) == text
 
 
+def plain_runs(sizes, width, surge):
+    """(text, first line, line after the last) of each run, straight from the definition of the block distribution."""
+    blocks = [sum(sizes[i : i + width]) for i in range(len(sizes))]
+    limit, runs, i = min(surge, 0.5 * max(blocks)), [], 0
+    while i < len(blocks):
+        j = i
+        while j < len(blocks) and blocks[j] >= limit:
+            j += 1
+        if j > i:
+            stop = min(len(sizes), j + width - 1)
+            while stop > i and not sizes[stop - 1]:
+                stop -= 1
+            runs.append((sum(sizes[i:stop]), i, stop))
+        i = max(j, i + 1)
+    return runs
+
+
+def test_surge_and_dive_by_their_definition():
+    """Each line a part of its own in the body: the greatest run is that of the plain version and follows its parameters; where it
+    spans several parts the page is the container, and all from the first surge to the last dive belongs to it."""
+    rng = random.Random(6)
+    changed = 0
+    for _ in range(300):
+        sizes = [rng.choice([0, 0, 4, 8, 20, 70, 150]) for _ in range(rng.randint(1, 25))]
+        body = html_text.Node(None, "body", ("body", ""))
+        rows = [html_text.Line("x" * max(n, 4), 0 if n else 4, 0, False, html_text.Node(body, "section", ("section", str(i)))) for i, n in enumerate(sizes)]
+        found = []
+        for width, surge in ((3, 60.0), (2, 30.0), (5, 140.0)):
+            runs = plain_runs(sizes, width, surge)
+            _, first, stop = max(runs, key=lambda r: (r[0], -r[1]))
+            if sum(n > 0 for n in sizes[first:stop]) > 1:
+                first, stop = runs[0][1], runs[-1][2]
+            while first < stop and not sizes[first]:
+                first += 1
+            assert html_text.main_lines(rows, width, surge) == rows[first:stop], (sizes, width, surge)
+            found.append((first, stop))
+        changed += len(set(found)) > 1
+    assert changed > 50
+
+
+def test_deep_long_and_odd_pages(spark):
+    deep = "<div>" * 6000 + f"<p>{STORY}</p>" + "</div>" * 6000
+    unclosed = "<b><div><li>" * 3000 + STORY + "</x>" * 3000
+    began = time.process_time()
+    assert html_text.extract(deep) == STORY and STORY in html_text.extract(unclosed)
+    assert time.process_time() - began < 5
+    rows = [(1, "u", f"<p>{STORY}</p>")] * 2 + [(None, None, f"<p>{STORY}</p>"), (2, "u", None), (3, "u", ""), (4, "u", "<p>" + f"{STORY} " * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "7 as n_chars")
+    got = sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"]) for r in html_text.extract_main_text(pages).collect())
+    long = " ".join([STORY] * 20_000)
+    assert got == sorted([("1", "u", STORY, len(STORY))] * 2 + [("None", "None", STORY, len(STORY)), ("2", "u", "", 0), ("3", "u", "", 0), ("4", "u", long, len(long))])
+    assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
 def test_whole_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_main_text(pages.selectExpr("*", "1 as text")).collect()}
