@@ -88,7 +88,7 @@ class LanguageModel:
     seen: np.ndarray | None = None
     background: np.ndarray | None = None
 
-    def known(self, texts: list[str | None], rounds: int = 12) -> np.ndarray:
+    def known(self, texts: list[str | None]) -> np.ndarray:
         """The share of each text's trigrams that the languages together explain, and not the background: 0 without a letter.
 
         Expectation-maximisation starts from one half for the background.  Trigrams seen in no language are the background's.
@@ -104,17 +104,18 @@ class LanguageModel:
         count, n = count.astype(float), len(self.names)
         share = np.full((n + 1, len(start)), 0.5 / n)
         share[n] = 0.5
-        share, _ = _em([*self.seen[:, gram], self.background[gram]], count, doc, start, np.add.reduceat(count, start), share, rounds)
+        share, _ = _em([*self.seen[:, gram], self.background[gram]], count, doc, start, np.add.reduceat(count, start), share)
         out[who] = 1 - share[n]
         return out
 
-    def mixtures(self, texts: list[str | None], penalty: float = 3.0, rounds: int = 12) -> list[tuple[str, float, str]]:
+    def mixtures(self, texts: list[str | None], penalty: float = 3.0) -> list[tuple[str, float, str]]:
         """(language, score, languages with shares) of each text.
 
-        Expectation-maximisation finds the share of each language in the text's trigrams.  Languages then enter the set in
-        order of their share, as long as the log-likelihood grows by more than ``penalty`` times the logarithm of the
-        trigram count for each (neighbouring trigrams overlap, so more than the half of it for independent draws).  The language with the largest share in the best
-        set wins; the score is its share, and for a set of one its posterior among all languages.
+        Expectation-maximisation finds the share of each language in the text's trigrams.  The set of languages starts from the best
+        single one and takes in, one by one, the language that raises the log-likelihood most, as long as it grows by more than
+        ``penalty`` times the logarithm of the trigram count (neighbouring trigrams overlap, so more than the half of it
+        for independent draws).  The language with the largest share wins; the score is its share, and for a set of one its
+        posterior among all languages.
         """
         out = [(UNKNOWN, 0.0, "")] * len(texts)
         if not self.names:
@@ -124,32 +125,37 @@ class LanguageModel:
             return out
         start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         who, doc = doc[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(doc))))
-        p, count = self.p[:, gram], count.astype(float)
+        p, count, n = self.p[:, gram], count.astype(float), len(self.names)
         total = np.add.reduceat(count, start)
         single = np.stack([np.add.reduceat(count * np.log(row), start) for row in p])
-        share = np.full((len(self.names), len(start)), 1 / len(self.names))
-        share, best = _em(p, count, doc, start, total, share, rounds)
+        _, best = _em(p, count, doc, start, total, np.full((n, len(start)), 1 / n))
         cost = penalty * np.log(total + 1)
         first = single.argmax(0)
         post = np.exp(single - single.max(0))
         post = post.max(0) / post.sum(0)
-        chosen = np.zeros_like(share)
+        chosen = np.zeros((n, len(start)))
         chosen[first, np.arange(len(start))] = 1.0
         # No set beats the mixture of all, so most texts are settled by that bound.
-        open_ = np.flatnonzero(best - single.max(0) > cost)
-        if len(open_):
-            part = np.isin(doc, open_)
-            number = np.cumsum(np.isin(np.arange(len(start)), open_)) - 1
-            sub_doc, sub_p, sub_count = number[doc[part]], p[:, part], count[part]
-            sub_start = np.flatnonzero(np.append(True, sub_doc[1:] != sub_doc[:-1]))
-            rank = (-share[:, open_]).argsort(0).argsort(0)
-            value = single[:, open_].max(0)
-            for size in range(2, len(self.names) + 1):
-                begin = np.where(rank < size, share[:, open_] + 1e-3, 0.0)
-                got, ll = _em(sub_p, sub_count, sub_doc, sub_start, total[open_], begin / begin.sum(0), rounds)
-                better = ll - (size - 1) * cost[open_] > value
-                chosen[:, open_[better]] = got[:, better]
-                value = np.where(better, ll - (size - 1) * cost[open_], value)
+        open_, value = np.flatnonzero(best - single.max(0) > cost), single.max(0)
+        while len(open_):
+            number = np.full(len(start), -1)
+            number[open_] = np.arange(len(open_))
+            part = number[doc] >= 0
+            sub = p[:, part], count[part], number[doc[part]]
+            sub_start = np.flatnonzero(np.append(True, sub[2][1:] != sub[2][:-1]))
+            mine, every = chosen[:, open_], np.arange(len(open_))
+            out_of_set = np.argsort(mine > 0, axis=0, kind="stable")  # languages not in the set come first
+            most, share = np.full(len(open_), -np.inf), mine
+            for k in range(n - int((mine > 0).sum(0).min())):
+                extra = out_of_set[k]
+                begin = mine * 0.7
+                begin[extra, every] += 0.3
+                got, ll = _em(*sub, sub_start, total[open_], begin)
+                better = (ll > most) & (mine[extra, every] == 0)
+                most, share = np.where(better, ll, most), np.where(better, got, share)
+            grown = most - value[open_] > cost[open_]
+            chosen[:, open_[grown]], value[open_[grown]] = share[:, grown], most[grown]
+            open_ = open_[grown & ((share > 0).sum(0) < n)]
         top = chosen.argmax(0)
         for i, d in enumerate(who.tolist()):
             own = chosen[:, i]
@@ -159,14 +165,29 @@ class LanguageModel:
         return out
 
 
-def _em(p, count, doc, start, total, share, rounds):
-    """Shares after ``rounds`` of expectation-maximisation, and the log-likelihood there, for all texts at once."""
-    share = share.copy()
-    for _ in range(rounds):
-        mix = sum(s[doc] * row for s, row in zip(share, p))
-        ratio = count / np.maximum(mix, 1e-300)
-        for k, row in enumerate(p):
-            share[k] *= np.add.reduceat(row * ratio, start) / total
+def _em(p, count, doc, start, total, share, tolerance: float = 1e-3, most: int = 500):
+    """Shares by expectation-maximisation from ``share``, and the log-likelihood there, for all texts at once.
+
+    A text is settled when a round moves none of its shares by more than ``tolerance``, and then left out; ``most`` rounds bound the rest.
+    """
+    share, open_ = share.copy(), np.arange(len(start))
+    live = p, count, doc, start, total
+    for turn in range(most):
+        rows, n, own, at, whole = live
+        mine = share[:, open_]
+        ratio = n / np.maximum(sum(s[own] * row for s, row in zip(mine, rows)), 1e-300)
+        new = np.stack([s * np.add.reduceat(row * ratio, at) / whole for s, row in zip(mine, rows)])
+        share[:, open_] = new
+        if turn % 6 == 5:
+            on = np.abs(new - mine).max(0) > tolerance
+            if not on.any():
+                break
+            if on.sum() < 0.8 * len(on):
+                keep = on[own]
+                number = np.cumsum(on) - 1
+                own = number[own[keep]]
+                live = [row[keep] for row in rows], n[keep], own, np.flatnonzero(np.append(True, own[1:] != own[:-1])), whole[on]
+                open_ = open_[on]
     mix = sum(s[doc] * row for s, row in zip(share, p))
     return share, np.add.reduceat(count * np.log(np.maximum(mix, 1e-300)), start)
 

@@ -1,6 +1,7 @@
 """Language mixtures, personal data and sampled segmentations against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -80,6 +81,28 @@ def test_em_climbs_to_the_plain_optimum():
     assert share.sum() == pytest.approx(1) and ll[0] >= best - 1e-3
 
 
+def test_language_sets_against_all_sets(spark, docs):
+    """The chosen set has the greatest penalised likelihood of all sets of languages, each fitted for very many rounds."""
+    model = langid.train(docs)
+    rng = random.Random(12)
+    langs = sorted(WORDS)
+    texts = [" ".join(text(rng, x, n) for x, n in zip(rng.sample(langs, 3), sizes)) for sizes in [(60, 0, 0), (40, 30, 0), (50, 25, 25), (30, 3, 0), (8, 6, 0)] * 6]
+    told = model.mixtures(texts)
+    for t, (_, _, shares) in zip(texts, told):
+        _, gram, count = langid.trigrams([t])
+        p, cost = model.p[:, gram], 3.0 * math.log(count.sum() + 1)
+        best = (-math.inf, None)
+        for size in range(1, len(model.names) + 1):
+            for own in itertools.combinations(range(len(model.names)), size):
+                share = np.full(size, 1 / size)
+                for _ in range(3000):
+                    part = share[:, None] * p[list(own)]
+                    share = (part / part.sum(0) * count).sum(1) / count.sum()
+                ll = float((count * np.log(share @ p[list(own)])).sum()) - (size - 1) * cost
+                best = max(best, (ll, tuple(model.names[k] for k in own)))
+        assert {x.split(":")[0] for x in shares.split(",")} == set(best[1]), (shares, best)
+
+
 def test_language_edge_cases(spark, docs):
     odd = spark.createDataFrame([(1, None, None), (None, "1 2 3", "en"), (3, "", "fr"), (4, "the of and to in that", None)], "doc_id long, text string, lang string").selectExpr("*", "'z' as score")
     rows = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict_languages(odd.drop("score").unionByName(docs)).where("doc_id is null or doc_id in (1, 3)").collect()}
