@@ -201,7 +201,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     """Trigram probabilities by language, from all rows of ``docs`` with a text and a language.
 
     Each task sums up counts by language and hashed trigram; Spark adds these, and what reaches the driver
-    is 2^16 counts for each language, whatever the corpus; ``with_background`` adds one for each of its letters.
+    is 2^16 counts for each language (0.5 MB), whatever the corpus; ``with_background`` adds one for each of its letters.  Rows with a null text or
+    language and texts without letters teach nothing, repeated rows count each, and an empty table gives a model of no language.
     """
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
 
@@ -246,8 +247,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     """The columns ``keep`` of every row of ``docs`` with ``lang_pred, score, languages``.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 where the text is null, has no letter or nothing
-    was learned.  Only the text is looked at, all of it.  Repeated rows are alike; an empty table gives no rows.
+    was learned.  Only the text is looked at, all of it.  Repeated rows are alike; an empty table gives no rows.  Columns of ``docs``
+    may have any names; those in ``keep`` that have a new column's name give way to it.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "languages"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -273,7 +276,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the rows in no learned language: no letter at all, or languages that together explain less than ``least``
     of the trigrams, the rest being better explained by letters drawn one by one.
 
-    A text in several learned languages stays.  One in a language close to a learned one may stay too.
+    A text in several learned languages stays.  One in a language close to a learned one may stay too.  Null and empty texts go, repeated
+    rows are alike, null ids are learned from like others, extra columns of any name stay as they are; an empty table gives no rows.
     """
     model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col, with_background=True)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -109,7 +109,10 @@ class BestFit:
 
 
 def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep_ids: bool = False) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32[, ids])``: each document's ids and a final 0, cut only where longer than ``limit``."""
+    """``(doc_id, piece, start, length, ids_crc32[, ids])``: each document's ids and a final 0, cut only where longer than ``limit``.
+
+    A null or empty text is the single id 0; repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
 def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024) -> DataFrame:
     """``pieces`` (rows with ``length`` from 1 to ``limit``) with ``sequence_id`` and ``offset``.
 
-    The rows, which carry lengths and no text, are dealt out by hash and packed in hash order,
+    The rows, which carry lengths and no text (and ids only if they have them), are dealt out by hash and packed in hash order,
     a fixed random order, so that a task that runs again packs alike.  A sequence
     belongs to one task: its id is the task's number times 2^40 plus a count.  Memory is
     ``open_bins`` bins, whatever the input.

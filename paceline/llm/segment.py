@@ -511,7 +511,10 @@ def row_seeds(keys: list, seed: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids array<int>)`` as the library encodes each whole text; null and empty texts have no ids."""
+    """``(doc_id, ids array<int>)`` as the library encodes each whole text, however long; null and empty texts have no ids.
+
+    Repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def make():
@@ -523,7 +526,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(doc_id, text)`` of arrays of ids; null arrays give the empty text, null ids within are left out."""
+    """``(doc_id, text)`` of arrays of ids; null and empty arrays give the empty text, null ids within are left out.
+
+    Repeated rows and null doc_ids stay; an empty table gives no rows; other columns are left out.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def make():

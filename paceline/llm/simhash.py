@@ -43,7 +43,11 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", n: int = 4, name: str = "fp") -> DataFrame:
-    """``docs`` and their fingerprints in column ``name``, the bits as a signed long."""
+    """``docs`` and their fingerprints in column ``name``, the bits as a signed long; a column of that name gives way.
+
+    Null and empty texts have fingerprint 0; texts of any length are taken whole; repeated rows and null ids stay; an empty table gives no rows.
+    """
+    docs = docs.drop(name)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +60,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", n: int = 4, name:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` for every row."""
+    """``(doc_id, fp)`` for every row, as ``with_fingerprint`` gives it; other columns are left out."""
     return with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", n).select("doc_id", "fp")
 
 

@@ -192,7 +192,10 @@ def bytes_within(text: bytes, prefix: np.ndarray, budget: int) -> int:
 
 
 def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, prefix_tokens)``: the whole table of counts as an array, one entry for each byte."""
+    """``(doc_id, n_bytes, prefix_tokens)``: the whole table of counts as an array, one entry for each byte.
+
+    Null and empty texts have an empty array; repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("prefix_tokens", pa.list_(pa.int32()))])
     return _map(docs, vocab_path, id_col, text_col, schema, "doc_id long, n_bytes long, prefix_tokens array<int>", lambda raw, p: (len(raw), p.astype(np.int32)))
 

@@ -226,7 +226,8 @@ def read_archives(listed: DataFrame, chunk: int = CHUNK, keep_data: bool = True)
     """The chunk table of archives listed as ``(archive, root)``: one row per record and chunk.
 
     Columns: archive, record_id, record_type, page_id, target_uri, refers_to_id, declared_digest, declared_bytes, chunk, data,
-    bytes_so_far, sha1_so_far (hex, incremental), last.  ``keep_data=False`` leaves ``data`` null but still digests it.
+    bytes_so_far, sha1_so_far (hex, incremental), last.  ``keep_data=False`` leaves ``data`` null but still digests it.  A record without a
+    payload has one empty chunk; records of equal content stay apart; no archives give no rows; a broken archive is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

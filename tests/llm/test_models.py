@@ -109,6 +109,9 @@ def test_language_edge_cases(spark, docs):
     assert rows[None] == ("und", 0.0)
     assert {r["lang_pred"] for r in langid.predict_languages(odd).collect()} == {"und"}  # nothing to learn from
     assert langid.predict_languages(docs.limit(0)).count() == 0
+    told = langid.identify(odd, langid.train(docs), keep=("doc_id", "score"))  # its own score gives way
+    assert told.columns == ["doc_id", "lang_pred", "score", "languages"] and told.where("score > 0").count() == 1
+    assert langid.keep_identified(odd).count() == 0 and langid.keep_identified(odd).columns == odd.columns
     kept = langid.keep_identified(odd.drop("score").unionByName(docs))
     assert kept.columns == docs.columns and kept.count() == docs.count() + 1
 

@@ -277,3 +277,24 @@ def test_pipeline(spark, tmp_path):
     assert seen[3].where("doc_id = 103").first()["text"].startswith("write to [EMAIL] about")
     assert all(df.columns == list(pipeline.COLUMNS) for df in seen[1:4])
     assert pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").exceptAll(seen[4].select("doc_id", "piece", "length", "ids_crc32")).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table gives no rows; null ids, repeated rows, very long texts and extra columns pass every stage."""
+    sys.path.insert(0, ROOT)
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    story = "the board of the town met to speak about the old harbour and the plan for its boats, number {} of many "
+    rows = [(i, story.format(i) + f"and {'abcdefgh'[i % 8]} more words {i * 7}", "en", "s", 0) for i in range(40)]
+    rows += [(None, "a story of its own that has no number at all but was told in the harbour and the town", "en", None, None)] * 2
+    rows += [(99, " ".join(story.format(i) for i in range(3000)), "en", "s", 5), (100, None, None, None, None)]
+    path = str(tmp_path / "odd" / "documents.parquet")
+    spark.createDataFrame(rows, schema).selectExpr("*", "1 as score", "2 as fp", "'x' as spans", "3 as piece").write.parquet(path)
+    out = pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = {r["doc_id"] for r in out}
+    assert None in ids and 99 in ids and 100 not in ids and sum(r["doc_id"] is None for r in out) == 1
+    long = sorted((r["piece"], r["length"]) for r in out if r["doc_id"] == 99)
+    assert len(long) > 20 and all(n == 2048 for _, n in long[:-1])

@@ -146,3 +146,16 @@ def test_edit_fingerprints_of_few_and_long_texts(spark):
     assert winnow.edit_fingerprints(docs.limit(0)).count() == 0
     long = winnow.edit_fingerprints(docs).where("doc_id = 4").first()
     assert long["n_chars"] == 240_000 and 0.5 < long["near_edited"] <= 1 and long["n_selected"] > 30_000
+
+
+def test_dedup_of_odd_tables(spark):
+    """Null ids, null and empty texts, repeated rows and clashing names; an empty table."""
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (5, None), (4, ""), (None, None), (9, "x " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as fp", "1 as uid", "'r' as row", "2 as component_id")
+    kept = simhash.dedup_simhash(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], len(r["text"])) for r in kept.collect()) == [(3, 11), (4, 0), (9, 40_000)]
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.simhash_components(docs).collect())
+    assert got == sorted([("None", 3), ("None", 3), ("3", 3), ("5", 4), ("4", 4), ("None", 4), ("9", 9)])
+    assert simhash.with_fingerprint(docs).columns == ["doc_id", "text", "uid", "row", "component_id", "fp"]
+    for empty in (simhash.dedup_simhash(docs.limit(0)), simhash.simhash_components(docs.limit(0))):
+        assert empty.count() == 0
