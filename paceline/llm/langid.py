@@ -165,7 +165,7 @@ class LanguageModel:
         return out
 
 
-def _em(p, count, doc, start, total, share, tolerance: float = 1e-3, most: int = 500):
+def _em(p, count, doc, start, total, share, most: int = 1000, tolerance: float = 1e-4):
     """Shares by expectation-maximisation from ``share``, and the log-likelihood there, for all texts at once.
 
     A text is settled when a round moves none of its shares by more than ``tolerance``, and then left out; ``most`` rounds bound the rest.
