@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -26,6 +28,20 @@ _UNITS_STRICT = re.compile(f"[{_SPACE}]*+[^{_SPACE}]+|[{_SPACE}]+")
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+class Totals(dict):
+    """The last entry of each unit's table."""
+
+    def __init__(self, tables: PrefixCounts):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= self.tables.most:
+            self.clear()
+        self[unit] = last = int.from_bytes(self.tables[unit][-4:], "little")
+        return last
+
+
 class PrefixCounts(dict):
     """Token counts at each byte of a unit (white space, then a run without it), remembered by unit.
 
@@ -45,6 +61,7 @@ class PrefixCounts(dict):
         self.ending.make_automaton()
         self.follows: dict[int, bool] = {}
         self.pieces: dict[bytes, list[int]] = {}
+        self.totals = Totals(self)
         # How the merges build each token: ids in order of rank, the two parts being the last pair left.
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
@@ -143,9 +160,34 @@ class PrefixCounts(dict):
         self[unit] = got = array("I", out).tobytes()
         return got
 
+    def units(self, text: str) -> list[str]:
+        return (_UNITS_STRICT if any(c in text for c in _NOT_SPACE) else _UNITS).findall(text)
+
+    def within(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens of ``text``, bytes of its longest prefix, ending where a character ends, of at most ``budget`` tokens).
+
+        Read from the units' tables: totals add up, and only the unit in which the budget ends is looked up byte by byte.
+        Each entry of a unit is 1 at least, so no later unit can hold that end.
+        """
+        if any(s in text for s in self.added):
+            prefix = self.prefixes(text)
+            return int(prefix[-1]), bytes_within(text.encode(), prefix, budget)
+        units = self.units(text)
+        own = list(map(self.totals.__getitem__, units))
+        total = sum(own)
+        if total <= budget:
+            return total, len(text.encode())
+        if budget < 1:
+            return total, 0
+        ends = list(accumulate(own))
+        k = bisect_left(ends, budget)  # the first unit to reach the budget starts below it
+        base = ends[k] - own[k]
+        local = np.frombuffer(self[units[k]], "<u4").astype(np.int64) + base
+        return total, len("".join(units[:k]).encode()) + bytes_within(units[k].encode(), local, budget)
+
     def ordinary(self, text: str) -> np.ndarray:
         """Counts at each byte of a text without added tokens."""
-        units = (_UNITS_STRICT if any(c in text for c in _NOT_SPACE) else _UNITS).findall(text)
+        units = self.units(text)
         if not units:
             return np.zeros(0, np.int64)
         own = [self[u] for u in units]
@@ -197,7 +239,7 @@ def token_prefixes(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     Null and empty texts have an empty array; repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("prefix_tokens", pa.list_(pa.int32()))])
-    return _map(docs, vocab_path, id_col, text_col, schema, "doc_id long, n_bytes long, prefix_tokens array<int>", lambda raw, p: (len(raw), p.astype(np.int32)))
+    return _map(docs, vocab_path, id_col, text_col, schema, "doc_id long, n_bytes long, prefix_tokens array<int>", lambda counter, text: (len(text.encode()), counter.prefixes(text).astype(np.int32)))
 
 
 def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", budget: int = 1024) -> DataFrame:
@@ -209,9 +251,9 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("budget_bytes", pa.int64())])
 
-    def answer(raw: bytes, prefix: np.ndarray) -> tuple:
-        n = int(prefix[-1]) if len(prefix) else 0
-        return len(raw), n, n > budget, len(raw) if n <= budget else bytes_within(raw, prefix, budget)
+    def answer(counter: PrefixCounts, text: str) -> tuple:
+        n, cut = counter.within(text, budget)
+        return len(text.encode()), n, n > budget, cut
 
     return _map(docs, vocab_path, id_col, text_col, schema, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_bytes long", answer)
 
@@ -221,7 +263,7 @@ def _map(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, schema: p
         counter = prefix_counter(vocab_path)
 
         def work(ids, texts):
-            rows = [answer((t or "").encode(), counter.prefixes(t or "")) for t in texts]
+            rows = [answer(counter, t or "") for t in texts]
             return [ids, *([list(c) for c in zip(*rows)] or [[] for _ in schema[1:]])]
 
         return work

@@ -50,6 +50,15 @@ def test_budget_cut():
         text[:cut].decode()
 
 
+def test_totals_of_units_are_the_prefix_table(texts):
+    own = tokencount.prefix_counter(BYTES)
+    for t in texts:
+        raw, prefix = t.encode(), own.prefixes(t)
+        total = int(prefix[-1]) if len(prefix) else 0
+        for budget in {0, 1, 2, 3, 7, 20, max(total - 1, 0), total, total + 1}:
+            assert own.within(t, budget) == (total, tokencount.bytes_within(raw, prefix, budget)), (t, budget)
+
+
 def best_fit(lengths, capacity, most_open):
     """The same rule without a bitset: search all open bins."""
     bins, made, out = [], 0, []
