@@ -138,10 +138,11 @@ def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
-def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024, in_place: bool = False) -> DataFrame:
     """``pieces`` (rows with ``length`` from 1 to ``limit``) with ``sequence_id`` and ``offset``.
 
-    The rows, which carry lengths and no text (and ids only if they have them), are dealt out by hash and packed in hash order,
+    The rows are dealt out by hash, which moves lengths alone where they carry no ids; with ``in_place`` each task packs
+    the rows that it holds and nothing moves.  Either way they are packed in hash order,
     a fixed random order, so that a task that runs again packs alike.  A sequence
     belongs to one task: its id is the task's number times 2^40 plus a count.  Memory is
     ``open_bins`` bins, whatever the input.
@@ -157,15 +158,16 @@ def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024) -> DataFra
             arrays = [*batch.columns, pa.array([base + b for b, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "sequence_id", "offset"])
 
-    rows = pieces.select(*(f.name for f in kept)).repartition(keys[0]).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, out_ddl)
+    rows = pieces.select(*(F.col(f"`{f.name}`") for f in kept))
+    return (rows if in_place else rows.repartition(keys[0])).sortWithinPartitions(*keys).mapInArrow(run, out_ddl)
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, open_bins: int = 1024, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, open_bins: int = 1024, keep_ids: bool = False, in_place: bool = False) -> DataFrame:
     """Documents as token sequences of at most ``limit`` ids: one row per piece.
 
     ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.  A null or empty text is the single
     id 0; repeated rows and null ids are packed like any others; an empty table gives no rows;
-    other columns are left out.
+    other columns are left out.  With ``in_place`` each task packs the documents that it reads, so that kept ids are not
+    shuffled: its last open bins are then filled less well, which costs less the more text a task reads.
     """
-    return pack(token_pieces(docs, vocab_path, id_col, text_col, limit, keep_ids), limit, open_bins)
+    return pack(token_pieces(docs, vocab_path, id_col, text_col, limit, keep_ids), limit, open_bins, in_place)

@@ -124,6 +124,27 @@ def test_pack_documents(spark):
     assert sorted(map(str, packing.pack_documents(docs, WORDS).collect())) == sorted(map(str, packing.pack_documents(docs, WORDS).collect()))
 
 
+def test_pack_in_place(spark):
+    rng = random.Random(4)
+    texts = [" ".join(["alpha"] * rng.choice([1, 30, 700, 5000])) for _ in range(80)] + [None, "", "twice", "twice"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    plain, own = (packing.pack_documents(docs, WORDS, keep_ids=True, in_place=k) for k in (False, True))
+    plans = [df._jdf.queryExecution().toString().split("== Physical Plan ==")[1] for df in (plain, own)]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1]  # docs' own, and that of the pieces
+    pieces = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
+    assert sorted(map(str, own.select(*pieces).collect())) == sorted(map(str, plain.select(*pieces).collect()))
+    bins = defaultdict(list)
+    for r in own.collect():
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spots in bins.values():
+        spots.sort()
+        assert [o for o, _ in spots] == [sum(n for _, n in spots[:k]) for k in range(len(spots))]
+        assert sum(n for _, n in spots) <= 2048
+    total = sum(n for spots in bins.values() for _, n in spots)
+    assert len(bins) <= total / 2048 * 1.1 + 3
+    assert packing.pack_documents(docs.limit(0), WORDS, in_place=True).count() == 0
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(BYTES)
     rows = [(1, None), (2, ""), (None, "héllo"), (4, "word " * 1500), (4, "word " * 1500)]
