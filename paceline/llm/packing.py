@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -108,15 +108,18 @@ class BestFit:
         return found, self.capacity - free
 
 
-def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep_ids: bool = False, open_bins: int | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each document's ids and a final 0, cut only where longer than ``limit``.
 
     A null or empty text is the single id 0; repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
+    With ``open_bins`` each task also packs the pieces that it makes, in an order fixed by the rows' hashes, which adds ``sequence_id, offset``.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
+    spots = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64())] if open_bins else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocab_path)
+        place = placing(limit, open_bins) if open_bins else None
         for part in slices(batches, "text", 4 << 20):
             out: list[list] = [[] for _ in range(5)]
             kept: list[bytes] = []
@@ -132,17 +135,29 @@ def token_pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
             if keep_ids:
                 ends = np.cumsum([0, *out[3]]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            yield pa.RecordBatch.from_arrays(arrays + (place(out[3]) if place else []), names=[*schema.names, *spots.names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    if open_bins:
+        rows = rows.sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long" * bool(open_bins))
 
 
-def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024, in_place: bool = False) -> DataFrame:
+def placing(limit: int, open_bins: int) -> Callable[[list[int]], list[pa.Array]]:
+    """Within a task: sequences and offsets for one list of lengths after the other.  A sequence belongs to its task."""
+    base, bins = TaskContext.get().partitionId() << 40, BestFit(limit, open_bins)
+
+    def place(lengths: list[int]) -> list[pa.Array]:
+        found = [bins.place(n) for n in lengths]
+        return [pa.array([base + b for b, _ in found], pa.int64()), pa.array([o for _, o in found], pa.int64())]
+
+    return place
+
+
+def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024) -> DataFrame:
     """``pieces`` (rows with ``length`` from 1 to ``limit``) with ``sequence_id`` and ``offset``.
 
-    The rows are dealt out by hash, which moves lengths alone where they carry no ids; with ``in_place`` each task packs
-    the rows that it holds and nothing moves.  Either way they are packed in hash order,
+    The rows, which carry lengths and no text (and ids only if they have them), are dealt out by hash and packed in hash order,
     a fixed random order, so that a task that runs again packs alike.  A sequence
     belongs to one task: its id is the task's number times 2^40 plus a count.  Memory is
     ``open_bins`` bins, whatever the input.
@@ -152,14 +167,13 @@ def pack(pieces: DataFrame, limit: int = 2048, open_bins: int = 1024, in_place:
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, bins = TaskContext.get().partitionId() << 40, BestFit(limit, open_bins)
+        place = placing(limit, open_bins)
         for batch in batches:
-            spots = [bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
-            arrays = [*batch.columns, pa.array([base + b for b, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "sequence_id", "offset"])
+            spots = place(batch.column(batch.schema.get_field_index("length")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *spots], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    rows = pieces.select(*(F.col(f"`{f.name}`") for f in kept))
-    return (rows if in_place else rows.repartition(keys[0])).sortWithinPartitions(*keys).mapInArrow(run, out_ddl)
+    rows = pieces.select(*(F.col(f"`{f.name}`") for f in kept)).repartition(keys[0]).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, out_ddl)
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, open_bins: int = 1024, keep_ids: bool = False, in_place: bool = False) -> DataFrame:
@@ -170,4 +184,6 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     other columns are left out.  With ``in_place`` each task packs the documents that it reads, so that kept ids are not
     shuffled: its last open bins are then filled less well, which costs less the more text a task reads.
     """
-    return pack(token_pieces(docs, vocab_path, id_col, text_col, limit, keep_ids), limit, open_bins, in_place)
+    if in_place:
+        return token_pieces(docs, vocab_path, id_col, text_col, limit, keep_ids, open_bins)
+    return pack(token_pieces(docs, vocab_path, id_col, text_col, limit, keep_ids), limit, open_bins)
