@@ -35,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: a row for each piece, with its ids."""
-    return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+    """Token sequences of at most 2048 ids: a row for each piece, with its ids.  Tasks pack what they read; ids are not shuffled."""
+    return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, in_place=True)
 
 
 STAGES = [
