@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
@@ -67,3 +69,39 @@ def mapper(columns: list[str], make: Callable[[], Callable], schema: pa.Schema,
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
     return run
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that all executors reach, by its URI (file://, hdfs://, s3://, ...)."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def written_blocks(df: DataFrame, purpose: str, most_rows: int) -> list[list[str]]:
+    """Write ``df`` to the shared folder and name its files in blocks of at most ``most_rows`` rows each.
+
+    Tasks read the blocks one after the other (``read_block``), so that a table of any size meets each slice of another
+    one in bounded memory, without a broadcast and without passing through the driver, which sees file names and row counts only.
+    """
+    root = shared_dir(df.sparkSession, purpose)
+    df.write.option("maxRecordsPerFile", most_rows).parquet(root)
+    files, path = file_system(root)
+    blocks: list[list[str]] = []
+    room = 0
+    for info in sorted(files.get_file_info(fs.FileSelector(path)), key=lambda x: x.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with files.open_input_file(info.path) as f:
+            n = pq.ParquetFile(f).metadata.num_rows
+        if n > room:
+            blocks.append([])
+            room = most_rows
+        if n:
+            blocks[-1].append(info.path)
+            room -= n
+    return [[root, *b] for b in blocks]
+
+
+def read_block(block: list[str]) -> pa.Table:
+    """The rows of a block that ``written_blocks`` named."""
+    files, _ = file_system(block[0])
+    return pa.concat_tables(pq.read_table(p, filesystem=files) for p in block[1:])

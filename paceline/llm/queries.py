@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import embeddings, html_text, langid, packing, pii, segment, simhash, tokencount, warc, winnow
+from paceline.llm import align, embeddings, html_text, langid, packing, pii, segment, simhash, tokencount, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_summary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans, op13_token_alignment)}
 
 # The other operators have no form in SQL (models, tokenizers, XXH64, HTML); tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
