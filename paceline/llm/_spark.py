@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _own_dir: str | None = None
 
@@ -105,3 +107,27 @@ def read_block(block: list[str]) -> pa.Table:
     """The rows of a block that ``written_blocks`` named."""
     files, _ = file_system(block[0])
     return pa.concat_tables(pq.read_table(p, filesystem=files) for p in block[1:])
+
+
+def extended(docs: DataFrame, text_col: str, make: Callable[[], Callable], extra: list[tuple[str, T.DataType]], max_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with columns ``extra`` computed from a text column, and without the rows that are not wanted.
+
+    ``make()`` runs once for each task; what it returns takes the texts of a slice and gives (the new columns, a mask of
+    rows or None).  Columns are known by their place on the way, so their names and types, nested fields included, may be anything; new columns whose
+    name is taken replace those that have it.
+    """
+    docs = docs.drop(*(n for n, _ in extra))
+    names, n = docs.columns, len(docs.columns)
+    at = names.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(n)))
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"c{n + k}", kind) for k, (_, kind) in enumerate(extra))])
+    kinds = [to_arrow_type(kind) for _, kind in extra]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for part in slices(batches, f"c{at}", max_bytes):
+            new, mask = work(part.column(at))
+            out = pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, kind) for x, kind in zip(new, kinds))], names=[f"c{k}" for k in range(n + len(kinds))])
+            yield out if mask is None else out.filter(pa.array(mask, pa.bool_()))
+
+    return plain.mapInArrow(run, schema).toDF(*names, *(n for n, _ in extra))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import align, embeddings, html_text, langid, packing, pii, segment, simhash, tokencount, warc, winnow
+from paceline.llm import align, contamination, embeddings, html_text, langid, packing, pii, segment, simhash, tokencount, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op12_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination_summary(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_summary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans, op12_benchmark_contamination, op13_token_alignment)}
 
 # The other operators have no form in SQL (models, tokenizers, XXH64, HTML); tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -78,6 +82,26 @@ least as (select a, min(b) as component_id from reach group by a),
 n as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
 from v join least on least.a = vec_id left join n on n.a = vec_id
+""",
+    "op12_benchmark_contamination": """
+with texts as (
+  select 'd' as side, row_number() over () as row, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all
+  select 'b', row_number() over (), item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+words as (select side, row, id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+items as (select id, w, len(w) as n, least(len(w), 10) as size from words where side = 'b' and len(w) > 0),
+windows as (select distinct id, size, array_to_string(w[i:i + size - 1], ' ') as g from (select *, unnest(range(1, n - size + 2)) as i from items)),
+docs as (select row, id, w, len(w) as n from words where side = 'd'),
+grams as (
+  select row, size, i, array_to_string(w[i:i + size - 1], ' ') as g
+  from (select row, w, size, unnest(range(1, n - size + 2)) as i from docs, (select distinct size from windows) where n >= size)),
+hits as (select row, size, i, g from grams semi join windows using (size, g)),
+covered as (select row, count(*) as n_hit from (select distinct row, unnest(range(i, i + size)) from hits) group by row),
+found as (
+  select row, count(*) as n_items, array_to_string(list_sort(list(id)), ',') as ids
+  from (select distinct row, cast(windows.id as varchar) as id from (select distinct row, size, g from hits) join windows using (size, g)) group by row)
+select id as doc_id, cast(n as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join covered using (row) left join found using (row)
 """,
     "op8_warc_round_trip": """
 with p as (select page_id, coalesce(html, '') as payload from pages),
