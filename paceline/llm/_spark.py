@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -73,6 +74,12 @@ def mapper(columns: list[str], make: Callable[[], Callable], schema: pa.Schema,
     return run
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different values; sorting is many times faster here than the hash table of ``numpy.unique``."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder that all executors reach, by its URI (file://, hdfs://, s3://, ...)."""
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from paceline.llm._spark import materialise, read_block, slices, written_blocks
+from paceline.llm._spark import distinct, materialise, read_block, slices, written_blocks
+from paceline.llm.tokencount import _PIECES
 from paceline.llm.vocab import read_ranks
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,6 +75,19 @@ class Numbers(dict):
         return n
 
 
+def _byte_level(path: str, ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """The encoding of a ``tokenizers`` file, strings of special tokens as plain text; by the faster library if ids follow the order of merges."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    order = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+    if spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["normalizer"] is None and order == sorted(order):
+        return tiktoken.Encoding(path, pat_str=_PIECES.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Aligner:
     """Tokens, links and groups of units of text, each unit aligned once.
 
@@ -80,11 +98,8 @@ class Aligner:
     """
 
     def __init__(self, path_a: str, path_b: str):
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
         ranks, added = read_ranks(path_a)
+        self.a = _byte_level(path_a, ranks)
         raw_a = [b""] * (max([*ranks.values(), *added.values()]) + 1)
         for token, k in ranks.items():
             raw_a[k] = token
@@ -110,7 +125,7 @@ class Aligner:
 
     def _one(self, unit: str) -> tuple[list[int], list[int]] | None:
         """Token ids of one unit, or None if their bytes are not the unit's."""
-        a = self.a.encode(unit, add_special_tokens=False).ids
+        a = self.a(unit)
         if unit[0] == " ":
             b = self.b.encode(unit[1:]) if len(unit) > 1 else self.b.encode("x ")[-1:]
         else:  # the model sets a space before a text; a letter before the unit parts them
@@ -122,7 +137,7 @@ class Aligner:
         """Token ids of plain units, encoded as one text; None if bytes differ."""
         text = " x" + "".join(units)
         both = []
-        for ids, raw, size in ((self.a.encode(text, add_special_tokens=False).ids, self.raw[0], self.size[0]), (self.b.encode(text[1:]), self.raw[1], self.size[1])):
+        for ids, raw, size in ((self.a(text), self.raw[0], self.size[0]), (self.b.encode(text[1:]), self.raw[1], self.size[1])):
             if b"".join(map(raw.__getitem__, ids)) != text.encode():
                 return None
             ids = np.array(ids, np.int64)
@@ -198,7 +213,7 @@ class Aligner:
         own = [list(map(self.numbers.__getitem__, self.units(" " + t))) if t else [] for t in texts]
         self.learn()
         start = np.append(0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own))))
-        units = np.fromiter((u for x in own for u in x), np.int64, start[-1])
+        units = np.fromiter(chain.from_iterable(own), np.int64, start[-1])
         bad = np.append(0, np.cumsum(self.table[units, 4] == 0))
         return units, start, (bad[start[1:]] == bad[start[:-1]]) & (start[1:] > start[:-1])
 
@@ -242,11 +257,11 @@ def link_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text
             if not len(units):
                 continue
             # Units once for each text, then pairs once for each text.
-            each = np.unique(doc * len(own.table) + units)
+            each = distinct(doc * len(own.table) + units)
             doc, units = np.divmod(each, len(own.table))
             pairs, size = own.pairs_of(units)
             named, code = np.unique(pairs, return_inverse=True)
-            once = np.unique(np.repeat(doc, size) * len(named) + code)
+            once = distinct(np.repeat(doc, size) * len(named) + code)
             yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(np.bincount(once % len(named), minlength=len(named)))], schema=schema)
 
     found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n_docs"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm._spark import extended, read_block, slices, written_blocks
+from paceline.llm._spark import distinct, extended, read_block, slices, written_blocks
 
 _CODES = np.arange(256)
 _LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
@@ -223,8 +223,8 @@ def _found(texts: pa.Array, blocks: list[list[str]], window: int) -> tuple[np.nd
             text = np.searchsorted(shard.text_start, at, "right") - 1
             # (text, group) once each, then the group's items.
             size = int(max(group.max(), of_group.max())) + 1
-            text, group = np.divmod(np.unique(text * size + group), size)
-            pair = np.unique(of_group * len(tests.names) + item)
+            text, group = np.divmod(distinct(text * size + group), size)
+            pair = distinct(of_group * len(tests.names) + item)
             of_group, item = np.divmod(pair, len(tests.names))
             low, high = np.searchsorted(of_group, group), np.searchsorted(of_group, group, "right")
             for t, i, j in zip(text.tolist(), low.tolist(), high.tolist()):
