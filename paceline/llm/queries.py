@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import align, contamination, embeddings, html_text, langid, packing, pii, segment, simhash, tokencount, warc, winnow
+from paceline.llm import align, contamination, embeddings, html_text, langid, packing, pii, segment, simhash, tokencount, variants, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 def op12_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination_summary(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +66,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_summary(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans, op12_benchmark_contamination, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_mixture, op3_simhash_dedup, op4_sampled_segmentations, op5_winnowing_fingerprints, op6_embedding_dedup, op7_html_extraction, op8_warc_round_trip, op9_token_counts, op10_pii_spans, op11_spelling_variants, op12_benchmark_contamination, op13_token_alignment)}
 
 # The other operators have no form in SQL (models, tokenizers, XXH64, HTML); tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -82,6 +86,42 @@ least as (select a, min(b) as component_id from reach group by a),
 n as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
 from v join least on least.a = vec_id left join n on n.a = vec_id
+""",
+    "op11_spelling_variants": """
+with recursive bits(k, v, i) as (
+  select range, range, 0 from range(256)
+  union all
+  select k, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, i + 1 from bits where i < 8),
+crc as (select list(v order by k) as t from bits where i = 8),
+runs as (
+  select doc_id, w, count(*) as c
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as w from documents)
+  where length(w) >= 6 group by all),
+hashed as (
+  select w, c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(h) + 1, 2), lambda p: (instr('0123456789abcdef', h[p]) - 1) * 16 + instr('0123456789abcdef', h[p + 1]) - 1)),
+    lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295::bigint) as x
+  from (select w, c, lower(hex(encode(coalesce(doc_id::varchar, '') || ':' || w))) as h from runs), crc),
+words as (
+  select word, sum(c)::bigint as n
+  from (select case when x % 199 = 0 then left(w, x % length(w)) || substr(w, x % length(w) + 2) else w end as word, c from hashed)
+  group by word having sum(c) >= 5 and length(word) >= 6),
+gaps as (select word, n, i, left(word, i - 1) as a, substr(word, i + 1) as b from (select *, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select x.word, y.word as other, y.n from gaps x join gaps y on x.a = y.a and x.b = y.b and x.i = y.i and x.word <> y.word
+  union
+  select gaps.word, w.word, w.n from gaps join words w on gaps.a || gaps.b = w.word
+  union
+  select w.word, gaps.word, gaps.n from gaps join words w on gaps.a || gaps.b = w.word),
+best as (select word, count(*) as n_near, max(n) as top from near group by word),
+forms as (
+  select words.word, words.n, coalesce(n_near, 0) as n_near, case when top >= 5 * words.n then top end as form_n,
+    case when top >= 5 * words.n then (select min(other) from near where near.word = words.word and near.n = top) end as form
+  from words left join best on best.word = words.word),
+steps(word, root, next) as (
+  select word, word, form from forms
+  union all
+  select steps.word, forms.word, forms.form from steps join forms on steps.next = forms.word)
+select forms.word, form, root, n, n_near, form_n from forms join (select word, root from steps where next is null) using (word)
 """,
     "op12_benchmark_contamination": """
 with texts as (
