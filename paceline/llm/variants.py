@@ -87,7 +87,7 @@ def count_codes(words: list[str]) -> np.ndarray:
 
 
 def _unpacked(codes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
+    return np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), _BITS // 8), axis=1, bitorder="little")
 
 
 _FIRST = np.cumsum([0, *_DEPTH])  # the first bit of each letter, and the end
