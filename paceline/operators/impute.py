@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.operators.filters import with_lap_times
+from paceline.operators.quantiles import group_quantiles
 from paceline.session import grouped, keys_present, over_keys, session_keys
 
 SPEEDS = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
@@ -45,7 +46,10 @@ def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, .
         keys = grouped(df, list(groups))
         df = df.withColumns({c: F.coalesce(c, over_keys(median(c), keys)) for c in columns})
     outer_keys = session_keys(df)
-    outer = df.groupBy(*outer_keys).agg(*(median(c).alias(f"__s_{c}") for c in columns))
+    if approx:
+        outer = df.groupBy(*outer_keys).agg(*(median(c).alias(f"__s_{c}") for c in columns))
+    else:
+        outer = group_quantiles(df, outer_keys, columns, [0.5]).select(*outer_keys, *(F.col(f"{c}__q")[0].alias(f"__s_{c}") for c in columns))
     joined = df.join(outer, outer_keys, "left") if outer_keys else df.join(F.broadcast(outer))
     return joined.withColumns({c: F.coalesce(c, f"__s_{c}") for c in columns}).select(*df.columns)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paceline.operators.quantiles import group_quantiles
+
 
 def _long(df: DataFrame, columns: dict[str, list]) -> DataFrame:
     """One wide row of aggregates as one row per column."""
@@ -32,45 +34,6 @@ def missing_share(df: DataFrame) -> DataFrame:
     return profile_columns(df, approx=True).where("nulls > 0").select("column", "null_pct").orderBy(F.desc("null_pct"), "column")
 
 
-def _bucket(value: Column, cuts: list[float]) -> Column:
-    """How many of the sorted ``cuts`` are below the value, by a balanced tree of comparisons."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value <= cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return tree(0, len(cuts))
-
-
-def exact_quantiles(df: DataFrame, names: list[str], shares: list[float], buckets: int = 128) -> DataFrame:
-    """``(column, q array<double>)``: exact quantiles of the columns ``names``, by linear interpolation; none for a column of nulls.
-
-    Approximate quantiles (some numbers for each column) cut its values into buckets; the buckets' counts tell in which of
-    them the wanted ranks lie, and only these are counted by value.  So no task holds a column.
-    """
-    value = {c: F.col(c).cast("double") for c in names}
-    even = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = df.agg(*(F.percentile_approx(value[c], even, F.lit(20 * buckets)).alias(c) for c in names)).first()
-    rows = (F.struct(F.lit(c).alias("column"), value[c].alias("value"), _bucket(value[c], sorted(set(cuts[c] or []))).alias("bucket")) for c in names)
-    placed = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("value is not null")
-    values = placed.groupBy("column", "bucket", "value").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = values.groupBy("column", "bucket").agg(F.sum("c").alias("own"))
-    sums = sums.withColumns({"before": F.coalesce(F.sum("own").over(before), F.lit(0)), "n": F.sum("own").over(Window.partitionBy("column"))})
-    # Ranks from 0 that a share falls between, wherever it falls.
-    rank = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("n") - 1)).alias("spot")) for i, s in enumerate(shares))))
-    asked = sums.select("column", "bucket", "before", "own", rank.alias("s")).select("*", "s.*").withColumn("end", F.explode(F.array(F.floor("spot"), F.ceil("spot"))))
-    asked = asked.where((F.col("end") >= F.col("before")) & (F.col("end") < F.col("before") + F.col("own"))).select("column", "bucket", "i", "spot", "end", (F.col("end") - F.col("before")).alias("rank")).distinct()
-    inner = Window.partitionBy("column", "bucket").orderBy("value")
-    ranked = values.join(F.broadcast(asked.select("column", "bucket").distinct()), ["column", "bucket"], "left_semi").withColumn("upto", F.sum("c").over(inner))
-    hit = ranked.join(F.broadcast(asked), ["column", "bucket"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-    low, high = F.min_by("value", "end"), F.max_by("value", "end")
-    q = hit.groupBy("column", "i").agg((low + (high - low) * (F.first("spot") - F.floor(F.first("spot")))).alias("v"))
-    return q.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))
-
-
 def describe_numeric(df: DataFrame) -> DataFrame:
     """Count, mean, deviation, least, five exact quantiles and greatest of each numeric column; a column of nulls has count 0."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -82,7 +45,8 @@ def describe_numeric(df: DataFrame) -> DataFrame:
         c: [F.col(f"n_{c}").alias("count"), F.col(f"avg_{c}").alias("mean"), F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max")]
         for c in names
     })
-    told = told.join(exact_quantiles(df, names, shares), "column", "left")
+    found = group_quantiles(df, [], names, shares).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}__q").alias("q")) for c in names))))
+    told = told.join(F.broadcast(found), "column", "left")
     return told.select("column", "count", "mean", "std", "min", *(F.col("q")[i].alias(f"p{round(100 * s):02d}") for i, s in enumerate(shares)), "max")
 
 
@@ -123,9 +87,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def group_boxes(df: DataFrame, group: str, target: str, k: int = 5) -> DataFrame:
     """Five numbers of ``target`` in each of the ``k`` largest groups."""
-    stats = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count("*").alias("rows"), F.percentile(target, F.array(*map(F.lit, [0.0, 0.25, 0.5, 0.75, 1.0]))).alias("q"))
-    top = stats.orderBy(F.desc("rows"), "group").limit(k)
-    return top.select("group", "rows", *(F.col("q")[i].alias(c) for i, c in enumerate(["min", "q1", "median", "q3", "max"])))
+    rows = df.where(F.col(group).isNotNull())
+    top = rows.groupBy(group).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), group).limit(k)
+    stats = group_quantiles(rows.join(F.broadcast(top.select(group)), group, "left_semi"), [group], [target], [0.0, 0.25, 0.5, 0.75, 1.0])
+    return top.join(stats, group).select(F.col(group).alias("group"), "rows", *(F.col(f"{target}__q")[i].alias(c) for i, c in enumerate(["min", "q1", "median", "q3", "max"])))
 
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalar import accuracy_class, needs_retraining, ordered_bounds
 from paceline.operators.filters import clean_laps
+from paceline.operators.quantiles import group_quantiles, joined_by
 from paceline.session import session_keys
 
 EPSILON = 2.220446049250313e-16  # of doubles: the least divisor of relative errors
 
 
 def driver_standings(preds: DataFrame, model: str, approx: bool = False) -> DataFrame:
-    """Drivers by median predicted time, over the season (event null) and by event, in one pass over grouping sets."""
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    stats = (
-        preds.where(F.col(model).isNotNull() & F.col("Driver").isNotNull())
-        .groupingSets([["Season", "Driver", "Team"], ["Season", "EventName", "Driver", "Team"]], "Season", "EventName", "Driver", "Team")
-        .agg(F.grouping("EventName").alias("whole"), median(model).alias("median_predicted_s"), F.avg(model).alias("mean_predicted_s"), F.count(model).alias("lap_count"), F.stddev_samp(model).alias("std_predicted_s"))
-    )
+    """Drivers by median predicted time, over the season (event null) and by event.
+
+    Means and deviations come from one pass over grouping sets; the medians are exact whatever the size of a driver's season (``group_quantiles``),
+    or approximate ones of the same pass.
+    """
+    rows = preds.where(F.col(model).isNotNull() & F.col("Driver").isNotNull())
+    keys = ["Season", "EventName", "Driver", "Team"]
+    told = [F.avg(model).alias("mean_predicted_s"), F.count(model).alias("lap_count"), F.stddev_samp(model).alias("std_predicted_s")]
+    if approx:
+        told.append(F.percentile_approx(model, 0.5).alias("median_predicted_s"))
+    stats = rows.groupingSets([["Season", "Driver", "Team"], keys], *keys).agg(F.grouping("EventName").cast("int").alias("whole"), *told)
+    if not approx:
+        scopes = [(1, rows.withColumn("EventName", F.lit(None).cast("string"))), (0, rows)]
+        medians = reduce(DataFrame.unionByName, (group_quantiles(r, keys, [model], [0.5]).withColumn("whole", F.lit(w)) for w, r in scopes))
+        stats = joined_by(stats, medians, ["whole", *keys]).withColumn("median_predicted_s", F.col(f"{model}__q")[0]).drop(f"{model}__q")
     rank = F.row_number().over(Window.partitionBy("Season", "whole", "EventName").orderBy("median_predicted_s", "Driver", "Team"))
     return stats.withColumn("scope", F.when(F.col("whole") == 1, "season").otherwise("event")).withColumn("rank", rank).drop("whole")
 
@@ -101,9 +112,12 @@ FORM = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST", "Sector1Time_s", "Sector2Tim
 
 def driver_form(laps: DataFrame) -> DataFrame:
     """By driver: medians of the form columns that there are, most points, team of the first lap."""
-    medians = [F.median(c).alias(c) for c in FORM if c in laps.columns]
+    columns = [c for c in FORM if c in laps.columns]
     points = [F.max(c).alias(c) for c in ("DriverPointsPreRace", "TeamPointsPreRace") if c in laps.columns]
-    return laps.where("Driver is not null").groupBy("Driver").agg(*medians, *points, F.min_by("Team", F.struct("Season", "RoundNumber", "LapNumber", "Team")).alias("Team"))
+    rows = laps.where("Driver is not null")
+    rest = rows.groupBy("Driver").agg(*points, F.min_by("Team", F.struct("Season", "RoundNumber", "LapNumber", "Team")).alias("Team"))
+    medians = group_quantiles(rows, ["Driver"], columns, [0.5])
+    return medians.join(rest, "Driver").select("Driver", *(F.col(f"{c}__q")[0].alias(c) for c in columns), *rest.columns[1:])
 
 
 def scenario(form: DataFrame, season: int, round_: int, event: str, lap: int = 15) -> DataFrame:
@@ -152,7 +166,8 @@ def qualifying(results: DataFrame, laps: DataFrame) -> DataFrame:
 def season_summary(preds: DataFrame, models: list[str], k: int = 5) -> DataFrame:
     """By season and model: laps scored, and the ``k`` best drivers by median time."""
     long = preds.select("Season", "Driver", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("t")) for m in models))).alias("x")).select("Season", "Driver", "x.*")
-    stats = long.groupBy("Season", "model", "Driver").agg(F.median("t").alias("m"), F.count("*").alias("n"))
+    medians = group_quantiles(long, ["Season", "model", "Driver"], ["t"], [0.5]).withColumn("m", F.col("t__q")[0]).drop("t__q")
+    stats = joined_by(long.groupBy("Season", "model", "Driver").agg(F.count("*").alias("n")), medians, ["Season", "model", "Driver"])
     total = stats.groupBy("Season", "model").agg(F.sum("n").alias("total_laps"))
     rank = F.row_number().over(Window.partitionBy("Season", "model").orderBy("m", "Driver"))
     top = stats.where("m is not null").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -119,16 +119,3 @@ def test_skewed_driver(spark):
     both = features.rolling_pace(df).where("Driver = 'B'")
     alone = features.rolling_pace(df.where("Driver = 'B'"))
     assert {tuple(r) for r in both.select(*SESSION, "LapNumber", "roll_laptime_5").collect()} == {tuple(r) for r in alone.select(*SESSION, "LapNumber", "roll_laptime_5").collect()}
-
-
-def test_exact_quantiles(spark):
-    """Against numpy, with ties, nulls, few values and more buckets than values."""
-    rng = np.random.default_rng(1)
-    a, b = rng.normal(size=3000), rng.integers(0, 4, 3000)
-    rows = [(float(x), int(y), None if i else 7.0) for i, (x, y) in enumerate(zip(a, b))]
-    df = spark.createDataFrame(rows, "a double, b int, c double").withColumn("d", F.lit(None).cast("double")).repartition(5)
-    shares = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
-    for buckets in (4, 128):
-        got = {r["column"]: r["q"] for r in profile.exact_quantiles(df, ["a", "b", "c", "d"], shares, buckets).collect()}
-        assert set(got) == {"a", "b", "c"} and got["c"] == [7.0] * 6
-        assert np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(b, shares))
