@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.session import grouped, over_keys, require, session_keys
@@ -123,3 +123,8 @@ def entry_list(rounds: DataFrame, results: DataFrame) -> DataFrame:
     )
     return from_.join(own, (from_["Season"] == own["Season"]) & (F.col("__from") == F.col("__r"))).select(from_["Season"], "RoundNumber", F.col("__from").alias("source_round"), "Driver", "Team")
 
+
+def first_of(df: DataFrame, groups: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group in ``order``; Spark keeps no more than ``k`` rows of a group in each task before it deals rows out."""
+    n = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return df.withColumn("__n", n).where(F.col("__n") <= k).drop("__n")

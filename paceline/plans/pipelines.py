@@ -56,17 +56,19 @@ def ingest(raw: DataFrame, rounds: list[int] | None = None, rules: list[validate
     return validate.coerce(rows.join(status.where("success").select(*SESSION), SESSION, "left_semi"), rules), status
 
 
-def predict_season(gold: DataFrame, train_seasons: list[int], test_season: int, rounds: int = 20) -> DataFrame:
-    """Predictions of the test season by models of the training seasons, with their ensemble."""
+def predict_season(gold: DataFrame, train_seasons: list[int], test_season: int, models: tuple[str, ...] = ("linear", "boosted"), ridge: float = 0.01, **options) -> DataFrame:
+    """Predictions of the test season by models of the training seasons, with their ensemble; ``options`` go to the boosted one."""
     train, test, _ = encode.chronological_split(gold, train_seasons, test_season)
     names = encode.aligned_columns(train, test)
     train = train.where(F.col(ml.TARGET).isNotNull())
     x, cols = ml.dense(train, names)
-    y, _ = ml.dense(test, names)
-    out = ml.scored(ml.linear(cols, ridge=0.01).fit(x), y, "predicted_laptime_linear_s")
-    out = ml.scored(ml.boosted(cols, rounds).fit(x), out, "predicted_laptime_boosted_s")
-    out = scalar.ensemble(out, ["predicted_laptime_linear_s", "predicted_laptime_boosted_s"])
-    return out.select(*SESSION, "EventName", "Driver", "Team", "LapNumber", "predicted_laptime_linear_s", "predicted_laptime_boosted_s", "predicted_laptime_ensemble_s")
+    out, _ = ml.dense(test, names)
+    fits = {"linear": lambda: ml.linear(cols, ridge=ridge).fit(x), "boosted": lambda: ml.fit_boosted(x, cols, **options)}
+    told = {m: f"predicted_laptime_{m}_s" for m in models}
+    for m, column in told.items():
+        out = ml.scored(fits[m](), out, column)
+    out = scalar.ensemble(out, list(told.values()))
+    return out.select(*SESSION, "EventName", "Driver", "Team", "LapNumber", *told.values(), "predicted_laptime_ensemble_s")
 
 
 def validate_race(preds: DataFrame, laps: DataFrame, lower: str, middle: str, upper: str) -> DataFrame:
