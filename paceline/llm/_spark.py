@@ -74,6 +74,11 @@ def mapper(columns: list[str], make: Callable[[], Callable], schema: pa.Schema,
     return run
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted different values; sorting is many times faster here than the hash table of ``numpy.unique``."""
     values = np.sort(values)

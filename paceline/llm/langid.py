@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paceline.llm._spark import slices
+from paceline.llm._spark import extended, quoted, slices
 
 BITS = 16
 UNKNOWN = "und"
@@ -252,17 +253,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     """
     keep = tuple(c for c in keep if c not in ("lang_pred", "score", "languages"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(*(F.col(quoted(c)) for c in keep), F.col(quoted(text_col)))
+    rows = rows.toDF(*(f"c{k}" for k in range(len(keep) + 1)))  # by place, whatever the names
+    new = ("lang_pred", "score", "languages")
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.StringType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for part in slices(batches, "__text", 1 << 20):
+        for part in slices(batches, f"c{len(keep)}", 1 << 20):
             found = model.mixtures(part.column(part.num_columns - 1).to_pylist())
-            new = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score", "languages"])
+            told = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *told], names=[*part.schema.names[:-1], *new])
 
-    return rows.mapInArrow(run, ", ".join(filter(None, (fields, "lang_pred string, score double, languages string"))))
+    return rows.mapInArrow(run, schema).toDF(*keep, *new)
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -279,17 +282,16 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text in several learned languages stays.  One in a language close to a learned one may stay too.  Null and empty texts go, repeated
     rows are alike, null ids are learned from like others, extra columns of any name stay as they are; an empty table gives no rows.
     """
-    model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col, with_background=True)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang"))
+    held = docs.sparkSession.sparkContext.broadcast(train(rows.where(~held_out(F.col("id"))), "text", "lang", with_background=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable:
         model = held.value
-        for part in slices(batches, "__text", 1 << 20):
-            known = model.known(part.column(part.num_columns - 1).to_pylist())
-            kept = (known > 0) & (known >= least)
-            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]).filter(pa.array(kept))
 
-    return rows.mapInArrow(run, fields)
+        def work(texts: pa.Array) -> tuple:
+            known = model.known(texts.to_pylist())
+            return [], (known > 0) & (known >= least)
+
+        return work
+
+    return extended(docs, text_col, make, [], 1 << 20)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm._spark import mapper, slices
+from paceline.llm._spark import mapper, quoted, slices
 
 # The kinds in the order in which spans are listed, and their base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -345,19 +345,21 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     Null texts stay null and keep their length, empty ones stay empty; repeated rows, null ids and all other columns stay as they are; an
     empty table gives no rows.
     """
-    field = field or train(docs, text_col)
+    field = field or train(docs.select(F.col(quoted(text_col)).alias("text")), "text")
     held = docs.sparkSession.sparkContext.broadcast(field)
+    names = docs.columns
+    at, k = names.index(text_col), names.index(length_col) if length_col in names else -1
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # by place, whatever the names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = held.value
-        for part in slices(batches, text_col):
-            at = part.schema.get_field_index(text_col)
+        for part in slices(batches, f"c{at}"):
             texts = part.column(at).to_pylist()
             new = [t if not t or not _ANY.search(t) else mask(t, field.spans(t, base_spans(t))) for t in texts]
             columns = list(part.columns)
             columns[at] = pa.array(new, pa.string())
-            if (k := part.schema.get_field_index(length_col) if length_col else -1) >= 0:
+            if k >= 0:
                 columns[k] = pa.array([x if t is None else len(t) for t, x in zip(new, part.column(k).to_pylist())], part.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

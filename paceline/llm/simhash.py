@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paceline.llm._spark import materialise, slices
+from paceline.llm._spark import extended, materialise, quoted
 from paceline.llm.components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -47,21 +48,13 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", n: int = 4, name:
 
     Null and empty texts have fingerprint 0; texts of any length are taken whole; repeated rows and null ids stay; an empty table gives no rows.
     """
-    docs = docs.drop(name)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-            fp = np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*part.schema.names, name])
-
-    return docs.mapInArrow(run, f"{ddl}, `{name}` long")
+    make = lambda: lambda texts: ([np.array([fingerprint(t, n) for t in texts.to_pylist()], np.uint64).view(np.int64)], None)
+    return extended(docs, text_col, make, [(name, T.LongType())])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
     """``(doc_id, fp)`` for every row, as ``with_fingerprint`` gives it; other columns are left out."""
-    return with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", n).select("doc_id", "fp")
+    return with_fingerprint(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")), "text", n).select("doc_id", "fp")
 
 
 def _merge_links(mine: np.ndarray, other: np.ndarray, offset: int, label: np.ndarray, radius: int, strip: int = 256) -> None:
@@ -187,9 +180,10 @@ def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of repeated rows one stays.  All columns stay as they are.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    row = F.struct(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(names)))  # by place, whatever the names
+    rows = docs.select(row.alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     prints = materialise(with_fingerprint(rows.select("id", "text", "row"), "text", n).select("row", "id", "fp").withColumn("uid", F.monotonically_increasing_id()), "simhash-rows")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))
     groups = prints.groupBy("fp").agg(F.min(order).alias("least")).join(fingerprint_groups(prints, radius, tile), "fp")
     kept = groups.groupBy("head").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
-    return prints.join(kept, "uid", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in names))
+    return prints.join(kept, "uid", "left_semi").select("row.*").toDF(*names)

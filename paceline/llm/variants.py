@@ -242,7 +242,9 @@ def near_words(words: DataFrame, cell: int = 1 << 16) -> DataFrame:
     """
     words = words.withColumn("class", F.least(F.length("word"), F.lit(LONG)))
     total = {r["class"]: r["count"] for r in words.groupBy("class").count().collect()}  # LONG rows at most
-    drawn = words.orderBy(F.xxhash64("word"), "word").select("word", "class").limit(SAMPLE).collect()
+    # About SAMPLE words by their hash, whatever the number of words and tasks.
+    some = math.ceil((1 << 30) * min(1.0, SAMPLE / max(1, sum(total.values()))))
+    drawn = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < some).select("word", "class").collect()
     trees: dict[int, Node] = {}
     for kind, n in total.items():
         own = [r["word"] for r in drawn if r["class"] == kind]
