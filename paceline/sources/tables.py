@@ -19,10 +19,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_table(df: DataFrame, base: str, kind: str, overwrite: bool = False) -> int:
+def write_table(df: DataFrame, base: str, kind: str, overwrite: bool = False, task_rows: int = 4_000_000) -> int:
     """Add the sessions of ``df`` to the partitioned table ``base/kind``; returns how many were written.
 
-    Sessions that the table has are left alone, or with ``overwrite`` replaced; others are never touched.  No rows are an error.
+    A session is written by one task, or by several where it has more than ``task_rows`` rows.  Sessions that the table has are left alone, or with ``overwrite`` replaced; others are never touched.  No rows are an error.
     """
     spark, path = df.sparkSession, f"{base}/{kind}"
     if df.isEmpty():
@@ -32,9 +32,15 @@ def write_table(df: DataFrame, base: str, kind: str, overwrite: bool = False) ->
         # Partition values alone: no data file is read.
         old = spark.read.parquet(path).select(*SESSION).distinct()
         new = df.join(F.broadcast(old) if old.count() < 100_000 else old, SESSION, "left_anti")
-    n = new.select(*SESSION).distinct().count()
-    if n:
-        new.repartition(*SESSION).write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*SESSION).parquet(path)
+    sizes = new.groupBy(*SESSION).agg(F.count("*").alias("__rows"))
+    told = sizes.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()
+    if n := told["n"]:
+        if told["most"] > task_rows:
+            part = F.pmod(F.xxhash64(*(c for c, t in new.dtypes if not t.startswith(("map", "variant")))), F.ceil(F.coalesce("__rows", F.lit(1)) / task_rows))
+            dealt = new.join(F.broadcast(sizes) if n < 100_000 else sizes, SESSION, "left").withColumn("__part", part).repartition(*SESSION, "__part").drop("__rows", "__part")
+        else:
+            dealt = new.repartition(*SESSION)
+        dealt.write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*SESSION).parquet(path)
     return n
 
 

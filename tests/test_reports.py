@@ -119,3 +119,47 @@ def test_skewed_driver(spark):
     both = features.rolling_pace(df).where("Driver = 'B'")
     alone = features.rolling_pace(df.where("Driver = 'B'"))
     assert {tuple(r) for r in both.select(*SESSION, "LapNumber", "roll_laptime_5").collect()} == {tuple(r) for r in alone.select(*SESSION, "LapNumber", "roll_laptime_5").collect()}
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e6, 1, (400, 12))
+    x[:, 3] = x[:, 0] * 2 - x[:, 1]
+    x[:, 7] = 5.0
+    rows = [tuple(float(v) for v in r) for r in x] + [(None, *[1.0] * 11)]
+    names = [f"c{k}" for k in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    few = {(r["x"], r["y"]): r["r"] for r in profile.correlations(df, names).collect()}
+    many = {(r["x"], r["y"]): r["r"] for r in profile.correlations(df, names, most=2).collect()}
+    assert few.keys() == many.keys() and len(many) == 66
+    with np.errstate(invalid="ignore"):
+        want = np.corrcoef(x.T)
+    for (a, b), r in many.items():
+        if "c7" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want[int(a[1:]), int(b[1:])], abs=1e-6) and few[a, b] == pytest.approx(r, abs=1e-4)
+    assert all(r["r"] is None for r in profile.correlations(df.limit(0), names, most=2).collect())
+
+
+@pytest.mark.parametrize("room", [2, 8, 1000])
+def test_certified_top_values(spark, room):
+    rng = np.random.default_rng(room)
+    hot, flat = (rng.zipf(1.6, 3000) % 500).tolist(), rng.integers(0, 900, 3000).tolist()
+    rows = [(f"v{a}", f"w{b}", None if a % 2 else "x", a) for a, b in zip(hot, flat)]
+    df = spark.createDataFrame(rows, "hot string, flat string, `a.b` string, n int").repartition(4)
+    want = sorted(map(tuple, profile.top_values(df, 4).collect()))
+    assert sorted(map(tuple, profile.top_values(df, 4, room=room, certified=True).collect())) == want and len(want) == 9
+    assert profile.top_values(df.limit(0), certified=True).count() == 0
+
+
+def test_large_sessions_are_written_by_several_tasks(spark, tmp_path):
+    rows = [(2024, 1 + (k % 50 == 0), "R", float(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "Season int, RoundNumber int, SessionType string, LapTime_s double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few rows come together again
+    assert tables.write_table(df, str(tmp_path), "laps", task_rows=100) == 2
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = tables.read_table(spark, str(tmp_path), "laps")
+    assert sorted(r["LapTime_s"] for r in back.collect()) == [float(k) for k in range(500)]
+    files = [str(f) for f in (tmp_path / "laps").rglob("*.parquet")]
+    assert sum("RoundNumber=1/" in f for f in files) > 1 and sum("RoundNumber=2/" in f for f in files) == 1
