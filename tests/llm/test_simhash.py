@@ -134,12 +134,28 @@ def test_edit_fingerprints(spark, range_bytes):
     want = []
     for (i, own), (_, after) in zip(order, order[1:] + order[:1]):
         edited = own[: len(own) - len(own) // 4] + after[: len(own) // 4]
-        prints = [winnow.fingerprint_digest(*winnow.winnow(t, 8, 8)) for t in (own, edited)]
+        prints = [winnow.fingerprint(*winnow.winnow(t, 8, 8)).hex() for t in (own, edited)]
         want.append((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), *prints, round(plain_likeness(own, edited), 9), round(plain_likeness(own, after), 9)))
     got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in winnow.edit_fingerprints(docs, range_bytes=range_bytes).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_likeness_from_the_returned_strings(spark):
+    """near_* follow from the fingerprints alone, and come near the multisets' Jaccard index for texts of more hashes than a sketch holds."""
+    rng = random.Random(6)
+    word = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(word) for _ in range(rng.randint(100, 900)))) for i in range(30)] + [(90, rows_text := "same " * 900), (91, rows_text)]
+    got = winnow.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    off = []
+    for r, after, (_, own), (_, other) in zip(got, got[1:] + got[:1], rows, rows[1:] + rows[:1]):
+        assert r["near_edited"] == winnow.fingerprint_likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == winnow.fingerprint_likeness(r["fingerprint"], after["fingerprint"])
+        edited = own[: len(own) - len(own) // 4] + other[: len(own) // 4]
+        off += [r["near_edited"] - plain_likeness(own, edited), r["near_next"] - plain_likeness(own, other)]
+    assert max(map(abs, off)) < 0.25 and abs(sum(off)) / len(off) < 0.03
+    assert got[30]["fingerprint"] == got[31]["fingerprint"] and got[30]["near_next"] == 1 and got[0]["near_edited"] > 0.3 > got[0]["near_next"]
+
+
 def test_edit_fingerprints_of_few_and_long_texts(spark):
     docs = spark.createDataFrame([(3, "x"), (4, "ab c" * 60_000)], "doc_id long, text string")
     assert winnow.edit_fingerprints(docs.where("doc_id = 3")).first()["near_next"] == 1
