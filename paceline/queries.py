@@ -14,7 +14,7 @@ from paceline.functions import scalar
 from paceline.operators import artifacts, encode, features, filters, impute, joins, ml, profile, standings, validate
 from paceline.plans import pipelines
 from paceline.session import SESSION
-from paceline.sources import tables
+from paceline.sources import commits, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,6 +89,18 @@ def a2_idempotent_write(s, d):
     return tables.read_table(s, base, "laps").groupBy(*SESSION).agg(F.count("*").alias("n"))
 
 
+@query(sql("laps", f"select {S3}, count(*) as n, cast(case when RoundNumber <= 10 then 1 else 2 end as bigint) as writers from laps group by all"))
+def a2_session_commits(s, d):
+    """Two writers stage at once; the first to commit adds its sessions, the other those that are left; one more replaces some."""
+    base, rows = _store(s), A.laps(s, d).select(*SESSION, "event_id")
+    one = commits.stage(rows.withColumn("writer", F.lit(2)), base, "laps")
+    two = commits.stage(rows.where("RoundNumber <= 10").withColumn("writer", F.lit(1)), base, "laps")
+    commits.commit(s, base, "laps", two)
+    commits.commit(s, base, "laps", one)
+    commits.write_sessions(rows.where("RoundNumber = 3").withColumn("writer", F.lit(1)), base, "laps", overwrite=True)
+    return commits.read_sessions(s, base, "laps").groupBy(*SESSION).agg(F.count("*").alias("n"), F.max("writer").cast("long").alias("writers"))
+
+
 @query(sql("laps", f"select {S3}, count(*) as n, true as refused from laps group by all"))
 def a3_refuse_empty_write(s, d):
     base, rows, refused = _store(s), A.laps(s, d).select(*SESSION, "event_id"), False
@@ -115,6 +127,16 @@ def a5_load_features(s, d):
     return tables.load_features(s, base).groupBy("Season").agg(F.count("*").alias("n"), F.count("TyreLife").alias("with_life"))
 
 
+@query(sql("laps", "select Season, count(*) as n, count(case when RoundNumber > 10 then TyreLife end) as with_life, count(case when RoundNumber > 15 then LapTime_s end) as with_time from laps where RoundNumber > 5 group by all"))
+def a5_registered_schemas(s, d):
+    """Sessions of three schemas; columns and folders come from the commit log."""
+    base, rows = _store(s), A.laps(s, d).select(*SESSION, "event_id", "TyreLife", "LapTime_s")
+    commits.write_sessions(rows.where("RoundNumber <= 10").select(*SESSION, "event_id"), base, "gold")
+    commits.write_sessions(rows.where("RoundNumber between 11 and 15").drop("LapTime_s"), base, "gold")
+    commits.write_sessions(rows.where("RoundNumber > 15"), base, "gold")
+    return commits.read_sessions(s, base, "gold").where("RoundNumber > 5").groupBy("Season").agg(F.count("*").alias("n"), F.count("TyreLife").alias("with_life"), F.count("LapTime_s").alias("with_time"))
+
+
 @query(sql("bounded", "select replace(EventName, ' ', '_') as event_dir, count(*) as n from (select *, 'GP ' || cast(RoundNumber % 24 as varchar) as EventName from bounded) group by all"))
 def a6_csv_by_event(s, d):
     path = _store(s)

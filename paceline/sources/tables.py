@@ -19,6 +19,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def deal_out(df: DataFrame, task_rows: int) -> tuple[int, DataFrame]:
+    """How many sessions ``df`` has, and its rows dealt out so that a task holds whole sessions, or parts of those of more than ``task_rows`` rows."""
+    sizes = df.groupBy(*SESSION).agg(F.count("*").alias("__rows"))
+    told = sizes.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()
+    n = told["n"]
+    if not n or told["most"] <= task_rows:
+        return n, df.repartition(*SESSION)
+    part = F.pmod(F.xxhash64(*(c for c, t in df.dtypes if not t.startswith(("map", "variant")))), F.ceil(F.coalesce("__rows", F.lit(1)) / task_rows))
+    dealt = df.join(F.broadcast(sizes) if n < 100_000 else sizes, SESSION, "left").withColumn("__part", part)
+    return n, dealt.repartition(*SESSION, "__part").drop("__rows", "__part")
+
+
 def write_table(df: DataFrame, base: str, kind: str, overwrite: bool = False, task_rows: int = 4_000_000) -> int:
     """Add the sessions of ``df`` to the partitioned table ``base/kind``; returns how many were written.
 
@@ -32,14 +44,8 @@ def write_table(df: DataFrame, base: str, kind: str, overwrite: bool = False, ta
         # Partition values alone: no data file is read.
         old = spark.read.parquet(path).select(*SESSION).distinct()
         new = df.join(F.broadcast(old) if old.count() < 100_000 else old, SESSION, "left_anti")
-    sizes = new.groupBy(*SESSION).agg(F.count("*").alias("__rows"))
-    told = sizes.agg(F.count("*").alias("n"), F.max("__rows").alias("most")).first()
-    if n := told["n"]:
-        if told["most"] > task_rows:
-            part = F.pmod(F.xxhash64(*(c for c, t in new.dtypes if not t.startswith(("map", "variant")))), F.ceil(F.coalesce("__rows", F.lit(1)) / task_rows))
-            dealt = new.join(F.broadcast(sizes) if n < 100_000 else sizes, SESSION, "left").withColumn("__part", part).repartition(*SESSION, "__part").drop("__rows", "__part")
-        else:
-            dealt = new.repartition(*SESSION)
+    n, dealt = deal_out(new, task_rows)
+    if n:
         dealt.write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*SESSION).parquet(path)
     return n
 
