@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paceline import adapters as A
 from paceline.adapters import sql
 from paceline.functions import scalar
-from paceline.operators import artifacts, encode, features, filters, impute, joins, ml, profile, standings, validate
+from paceline.operators import artifacts, encode, features, filters, impute, joins, ml, profile, session_profiles, standings, validate
 from paceline.plans import pipelines
 from paceline.session import SESSION
 from paceline.sources import commits, tables
@@ -593,6 +593,35 @@ def h1_profile(s, d):
     return profile.profile_columns(A.laps(s, d).select("Driver", "Stint", "Compound", "LapTime_s"))
 
 
+_PROFILED = ("Driver", "Stint", "Compound", "LapTime_s", "event_id")
+
+
+@query(sql("laps", " union all ".join(f"""select Season, '{c}' as "column", count(*) as rows, count(*) - count({c}) as nulls, round(100.0 * (count(*) - count({c})) / count(*), 4) as null_pct, case when count(distinct {c}) < 4096 then count(distinct {c}) end as n_unique,
+ {', '.join(f"round({e}, 6) as {n}" for e, n in ((f"min({c})::double", "least"), (f"max({c})::double", "greatest"), (f"avg({c})", "mean"), (f"stddev_samp({c})", "std"))) if c in ("Stint", "LapTime_s", "event_id") else "null as least, null as greatest, null as mean, null as std"} from laps group by Season""" for c in _PROFILED)))
+def h1_session_profiles(s, d):
+    """Sketches kept by session, extended by new sessions and made anew for a replaced one, merged by season; the number of different values only where it is exact."""
+    return session_profiles.merged_columns(_profiled(s, d), ["Season"]).select(
+        "Season", "column", "rows", "nulls", "null_pct", F.when(F.col("unique_exact"), F.col("n_unique")).alias("n_unique"), *r6("least", "greatest", "mean", "std"))
+
+
+def _profiled(s, d) -> DataFrame:
+    base, rows = _store(s), A.laps(s, d).select(*SESSION, *_PROFILED)
+    for part, replace in ((rows.where("RoundNumber <= 10"), False), (rows, False), (rows.where("RoundNumber = 3"), True)):
+        commits.write_sessions(part, base, "laps", overwrite=replace)
+        session_profiles.refresh(s, base, "laps")
+    return session_profiles.profiles(s, base, "laps")
+
+
+@query(sql("laps", """, r as (select Season, Driver, Stint, Compound from laps), c as (select Season, count(*) as n from (select distinct * from r) group by all)
+select Season, count(*) as rows, any_value(c.n) as n_unique, count(*) - any_value(c.n) as duplicates from laps join c using (Season) group by Season"""))
+def h4_session_duplicates(s, d):
+    """Duplicates over all sessions of a season, from sketches of whole rows (exact, as fewer than 4,096 rows differ)."""
+    base = _store(s)
+    commits.write_sessions(A.laps(s, d).select(*SESSION, *_PROFILED), base, "laps")
+    session_profiles.refresh(s, base, "laps", ["Driver", "Stint", "Compound"])
+    return session_profiles.merged_rows(session_profiles.profiles(s, base, "laps"), ["Season"]).select("Season", "rows", "n_unique", "duplicates")
+
+
 @query(sql("laps", " union all ".join(f"""select '{c}' as "column", count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c})::double, 6) as min, {', '.join(f'round(quantile_cont({c}, {q}), 6) as {n}' for q, n in ((.05, 'p05'), (.25, 'p25'), (.5, 'p50'), (.75, 'p75'), (.95, 'p95')))}, round(max({c})::double, 6) as max from laps""" for c in ("LapTime_s", "TyreLife", "SpeedI1"))))
 def h2_describe(s, d):
     return profile.describe_numeric(A.laps(s, d).select("LapTime_s", "TyreLife", "SpeedI1")).select("column", "count", *r6("mean", "std", "min", "p05", "p25", "p50", "p75", "p95", "max"))
