@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paceline.functions import scalar
 from paceline.operators import encode, features, filters, impute, joins, ml, standings, validate
 from paceline.session import SESSION, session_keys
+from paceline.sources.scratch import written
 
 
 def run_cleaning(raw: DataFrame) -> DataFrame:
@@ -47,6 +48,15 @@ def run_features(clean: DataFrame, weather: DataFrame, results: DataFrame, strai
     return encoder.transform(laps) if encoder else laps
 
 
+def clean_features(raw: DataFrame, weather: DataFrame, results: DataFrame, **options) -> DataFrame:
+    """Raw laps to the feature matrix; ``options`` as in ``run_features``.
+
+    Features read the clean laps three times, twice for a few columns.  They are written once, so that cleaning, which
+    shuffles whole rows, is not run for each.
+    """
+    return run_features(written(run_cleaning(raw), "clean-laps"), weather, results, **options)
+
+
 def ingest(raw: DataFrame, rounds: list[int] | None = None, rules: list[validate.Rule] = validate.LAPS) -> tuple[DataFrame, DataFrame]:
     """(rows of sessions without a violation, one row per session with its number of violations and success)."""
     rows = raw if rounds is None else raw.where(F.col("RoundNumber").isin(rounds))

@@ -861,9 +861,8 @@ _L2 += f""" select * exclude (Time) replace ({q6(*_SPEEDS)}), cast(GridPosition
 @query(sql("clean weather results", _L2))
 def l2_run_features(s, d):
     laps = A.laps(s, d)
-    clean = pipelines.run_cleaning(laps)
     hot = encode.OneHot(("Compound", "Team")).fit(laps)
-    out = pipelines.run_features(clean, A.weather(s, d), A.results(s, d), encoder=hot).drop("Time")
+    out = pipelines.clean_features(laps, A.weather(s, d), A.results(s, d), encoder=hot).drop("Time")
     shown = {c: F.round(F.col(c) + TIE, 6) for c in [*_SPEEDS, *_ROUND6]} | {"tyre_deg_slope": F.round("tyre_deg_slope", 5), "brake_wear_proxy": F.round(F.col("brake_wear_proxy") + 1e-7, 4)}
     return out.withColumns(shown | {c: F.col(c).cast("double") for c in ("DriverPointsPreRace", "TeamPointsPreRace")})
 
