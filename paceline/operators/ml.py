@@ -34,13 +34,15 @@ def linear(names: list[str], ridge: float = 0.0, weight: str | None = None, targ
 HELD_OUT = "__held_out"
 
 
-def boosted(names: list[str], rounds: int = 500, depth: int = 6, step: float = 0.05, sample: float = 0.8, weight: str | None = None, target: str = TARGET, seed: int = 42, tol: float = 0.001, bins: int = 256, leaf: int = 20) -> Pipeline:
-    """Gradient-boosted trees that stop by themselves: up to ``rounds``, until a round lowers the error on rows flagged by ``HELD_OUT`` by less than ``tol`` of it.
+def boosted(names: list[str], rounds: int = 500, depth: int = 6, step: float = 0.05, sample: float = 0.8, weight: str | None = None, target: str = TARGET, seed: int = 42, tol: float = 0.001, bins: int = 256, leaf: int = 20, stops: bool = False) -> Pipeline:
+    """Gradient-boosted trees of ``rounds``; with ``stops`` fewer, until a round lowers the error on rows flagged by ``HELD_OUT`` by less than ``tol`` of it.
 
     Rows keep the tree node that they have reached, and lineage is cut every ten rounds where the session has a checkpoint folder, so late
     rounds cost as much as early ones.  ``fit_boosted`` flags the rows.
     """
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, seed=seed, maxBins=bins, minInstancesPerNode=leaf, cacheNodeIds=True, checkpointInterval=10, validationTol=tol, validationIndicatorCol=HELD_OUT)
+    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, seed=seed, maxBins=bins, minInstancesPerNode=leaf, cacheNodeIds=True, checkpointInterval=10, validationTol=tol)
+    if stops:
+        model = model.setValidationIndicatorCol(HELD_OUT)
     if weight:
         model = model.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model])
@@ -57,10 +59,9 @@ def fit_boosted(df: DataFrame, names: list[str], target: str = TARGET, **options
     if flagged.limit(50).count() < 50 or not flagged.where(HELD_OUT).limit(1).count():
         pipe = boosted(names, target=target, **options)
         tree = pipe.getStages()[-1]
-        tree.clear(tree.validationIndicatorCol)
         tree.setMaxIter(min(tree.getMaxIter(), 20))  # nothing tells when to stop
         return pipe.fit(df)
-    return boosted(names, target=target, **options).fit(flagged)
+    return boosted(names, target=target, stops=True, **options).fit(flagged)
 
 
 def chosen_rounds(model: PipelineModel) -> int:
