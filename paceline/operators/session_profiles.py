@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paceline.operators.quantiles import joined_by
 from paceline.session import SESSION, require
 from paceline.sources import commits
 from paceline.sources.scratch import written
@@ -153,3 +154,28 @@ def merged_rows(kept: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows, sessions, different rows and duplicates (rows after the first of their kind; keys of the session are no part of a row) of all sessions or each group of ``by``."""
     estimate = F.theta_sketch_estimate("distinct")
     return _whole(kept, by or []).select(*(by or []), "sessions", "rows", estimate.alias("n_unique"), (estimate < 2**LG).alias("unique_exact"), F.greatest(F.col("rows") - estimate, F.lit(0)).alias("duplicates"))
+
+
+def exact_rows(spark: SparkSession, base: str, kind: str, by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``merged_rows`` with exact numbers for groups of any size; ``unique_exact`` is left out.
+
+    Groups whose sketch holds all their different rows are answered from it.  Only the others' ``columns`` (all by default; as in ``refresh``, which
+    comes first) are read again, one aggregate by row and one by group.
+    """
+    by = by or []
+    told = written(merged_rows(profiles(spark, base, kind), by), "profile-rows")
+    sure, open_ = told.where("unique_exact").drop("unique_exact"), told.where("not unique_exact")
+    if open_.isEmpty():
+        return sure
+    rows = commits.read_sessions(spark, base, kind)
+    fields = [f for f in rows.schema.fields if f.name not in SESSION and (columns is None or f.name in columns)]
+    # Maps can't be grouped by.
+    value = lambda f: F.to_json(_quoted(f.name)) if isinstance(f.dataType, T.MapType) else _quoted(f.name)
+    rows = rows.select(*by, *(value(f).alias(f"__c{i}") for i, f in enumerate(fields)))
+    if by:
+        wanted = joined_by(rows, open_.select(*by, F.lit(True).alias("__open")), by)
+        rows = wanted.where("__open").drop("__open")
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")).groupBy(*by).agg(F.sum("__n").alias("rows"), F.count("*").alias("n_unique"))
+    sessions = open_.select(*by, "sessions")
+    counted = joined_by(counted, sessions, by) if by else counted.crossJoin(F.broadcast(sessions))
+    return sure.unionByName(counted.withColumn("duplicates", F.col("rows") - F.col("n_unique")))

@@ -615,11 +615,11 @@ def _profiled(s, d) -> DataFrame:
 @query(sql("laps", """, r as (select Season, Driver, Stint, Compound from laps), c as (select Season, count(*) as n from (select distinct * from r) group by all)
 select Season, count(*) as rows, any_value(c.n) as n_unique, count(*) - any_value(c.n) as duplicates from laps join c using (Season) group by Season"""))
 def h4_session_duplicates(s, d):
-    """Duplicates over all sessions of a season, from sketches of whole rows (exact, as fewer than 4,096 rows differ)."""
+    """Duplicates over all sessions of a season, from sketches of whole rows where these are exact, else counted."""
     base = _store(s)
     commits.write_sessions(A.laps(s, d).select(*SESSION, *_PROFILED), base, "laps")
     session_profiles.refresh(s, base, "laps", ["Driver", "Stint", "Compound"])
-    return session_profiles.merged_rows(session_profiles.profiles(s, base, "laps"), ["Season"]).select("Season", "rows", "n_unique", "duplicates")
+    return session_profiles.exact_rows(s, base, "laps", ["Season"], ["Driver", "Stint", "Compound"]).select("Season", "rows", "n_unique", "duplicates")
 
 
 @query(sql("laps", " union all ".join(f"""select '{c}' as "column", count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c})::double, 6) as min, {', '.join(f'round(quantile_cont({c}, {q}), 6) as {n}' for q, n in ((.05, 'p05'), (.25, 'p25'), (.5, 'p50'), (.75, 'p75'), (.95, 'p95')))}, round(max({c})::double, 6) as max from laps""" for c in ("LapTime_s", "TyreLife", "SpeedI1"))))
