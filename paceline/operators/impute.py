@@ -13,10 +13,14 @@ SPEEDS = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
 
 
 def _filled(column: str, keys: list[str], order: str) -> Column:
-    """The last value before, else the first after, within ``keys``; a row with a null key keeps its own."""
+    """The last value before, else the first after, within ``keys``; a row with a null key keeps its own.
+
+    Where there is none before, the first after is the first of all.  That is looked up once a group; a frame that ends with the group
+    but starts at the row is walked anew for each row.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.first(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return F.coalesce(F.col(column), F.when(keys_present(keys), F.coalesce(before, after)))
 
 

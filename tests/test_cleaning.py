@@ -107,3 +107,14 @@ def test_ingest_reports_by_session(spark, laps):
     rows, status = pipelines.ingest(laps.union(bad), rules=[validate.Rule("SpeedI1", "double", low=0, high=450)])
     assert {(r["RoundNumber"], r["violations"], r["success"]) for r in status.collect()} == {(1, 0, True), (2, 10, False)}
     assert rows.select(*SESSION).distinct().count() == 1
+
+
+def test_fills_look_no_further_than_once_a_group(spark):
+    """No frame from the row to the end of its group, which Spark walks anew for each row; gaps at both ends and ties filled as before."""
+    rows = [("A", 1, None, None), ("A", 2, None, 4.0), ("A", 3, 7, None), ("A", 4, None, 6.0), ("A", 5, 8, None), ("B", 1, None, None), (None, 1, None, None), (None, 2, 3, None)]
+    df = spark.createDataFrame(rows, "Driver string, LapNumber int, Stint int, TyreLife double")
+    out = impute.fill_tyre_life(impute.fill_stint(df))
+    got = {(r["Driver"], r["LapNumber"]): (r["Stint"], r["TyreLife"]) for r in out.collect()}
+    assert got == {("A", 1): (7, 4.0), ("A", 2): (7, 4.0), ("A", 3): (7, 4.0), ("A", 4): (7, 6.0), ("A", 5): (8, None), ("B", 1): (None, None), (None, 1): (None, None), (None, 2): (3, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing$" in plan and "currentrow$(), unboundedfollowing$()" not in plan
