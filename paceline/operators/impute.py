@@ -67,6 +67,6 @@ def impute_report(df: DataFrame) -> DataFrame:
     """Values filled, by session and column."""
     columns = ["Stint", "TyreLife", "Compound", *SPEEDS]
     keys = session_keys(df)
-    nulls = lambda d, tag: d.groupBy(*keys).agg(F.count("*").alias(f"laps_{tag}"), *(F.count_if(F.col(c).isNull()).alias(f"{c}_{tag}") for c in columns))
-    both = nulls(with_lap_times(df), "before").join(nulls(impute(df), "after"), keys)
-    return both.select(*keys, F.col("laps_after").alias("laps"), *((F.col(f"{c}_before") - F.col(f"{c}_after")).alias(f"filled_{c}") for c in columns))
+    # What was null is told by flags that go along, so that the laps are made and filled once.
+    filled = impute(with_lap_times(df).withColumns({f"__null_{c}": F.col(c).isNull() for c in columns})).where(keys_present(keys))
+    return filled.groupBy(*keys).agg(F.count("*").alias("laps"), *((F.count_if(f"__null_{c}") - F.count_if(F.col(c).isNull())).alias(f"filled_{c}") for c in columns))

@@ -19,19 +19,23 @@ _STATE = "rank long, low double, high double, error double, below long, inside l
 def group_quantiles(df: DataFrame, groups: list[str], values: list[str], shares: list[float], most: int = MOST, kept: int = KEPT) -> DataFrame:
     """A row for each group: its columns and for each of ``values`` an array ``<value>__q`` of exact quantiles, by linear interpolation.
 
-    Null and NaN values do not count; without any the quantiles are null.  Null keys are a group like any other.  Groups are counted first: where the
+    Null and NaN values do not count; without any the quantiles are null.  Null keys are a group like any other.  Keys and values are written once.  Groups are counted first: where the
     buffers of the aggregate ``percentile`` surely stay below ``most`` values, it is taken.  Else no task holds a group: KLL sketches tell between
     which two values each wanted rank lies, counts say how many values lie below and between, and what lies between is sketched again until no more than
     ``kept`` values are left.  A pass leaves about a 17th, so 10^9 values take four passes, each with one map-side aggregate; a bracket that a
     sketch placed wrongly shows in the counts and is drawn again with twice the room.
     """
     own = [F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")).alias(f"__v{i}") for i, v in enumerate(values)]
-    size = df.groupBy(*groups).count().agg(F.max("count").alias("n"), F.count("*").alias("groups")).first()
+    # Keys become one struct, in which nulls equal each other.  The passes read what is written, not ``df`` and all that it is made from.
+    rows = written(df.select(F.struct(*(F.col(g) for g in groups)).alias("__g") if groups else F.lit(0).alias("__g"), *own), "quantile-rows")
+    size = rows.groupBy("__g").count().agg(F.max("count").alias("n"), F.count("*").alias("groups")).first()
+    if not groups and not size["groups"]:
+        return rows.agg(*(F.percentile(f"__v{i}", F.array(*map(F.lit, shares))).alias(f"{v}__q") for i, v in enumerate(values)))
     if (size["n"] or 0) * len(values) * min(size["groups"], 128) <= most:
-        return df.select(*groups, *own).groupBy(*groups).agg(*(F.percentile(f"__v{i}", F.array(*map(F.lit, shares))).alias(f"{v}__q") for i, v in enumerate(values)))
-    # Keys become one struct, in which nulls equal each other.
-    rows = df.select(F.struct(*(F.col(g) for g in groups)).alias("__g") if groups else F.lit(0).alias("__g"), *own)
-    return _refined(rows, values, shares, kept).select(*(F.col("__g").getField(g).alias(g) for g in groups), *(f"{v}__q" for v in values))
+        found = rows.groupBy("__g").agg(*(F.percentile(f"__v{i}", F.array(*map(F.lit, shares))).alias(f"{v}__q") for i, v in enumerate(values)))
+    else:
+        found = _refined(rows, values, shares, kept)
+    return found.select(*(F.col("__g").getField(g).alias(g) for g in groups), *(f"{v}__q" for v in values))
 
 
 def _bracket(rank: Column, n: Column, sketch: Column, error: Column) -> tuple[Column, Column]:

@@ -118,3 +118,20 @@ def test_fills_look_no_further_than_once_a_group(spark):
     assert got == {("A", 1): (7, 4.0), ("A", 2): (7, 4.0), ("A", 3): (7, 4.0), ("A", 4): (7, 6.0), ("A", 5): (8, None), ("B", 1): (None, None), (None, 1): (None, None), (None, 2): (3, None)}
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "unboundedfollowing$" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_report_fills_once(spark):
+    """The laps are made once for the speeds' medians and once for the rest."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(120).selectExpr(
+        "2024 as Season", "case when id < 100 then 1 end as RoundNumber", "'R' as SessionType", "'GP' as EventName", "concat('D', id % 2) as Driver", "cast(id div 2 as int) as LapNumber", "case when id % 3 > 0 then 1 end as Stint",
+        "case when id % 5 > 0 then 2.0D end as TyreLife", "case when id % 7 > 0 then 'SOFT' end as Compound", "case when id % 10 > 0 then 80.0D end as LapTime_s", *(f"case when id % {n} > 0 then 300.0D end as {c}" for n, c in zip((2, 4, 9, 200), impute.SPEEDS)))
+    got = impute.impute_report(rows.mapInArrow(counted, rows.schema)).collect()
+    assert [tuple(r) for r in got] == [(2024, 1, "R", 90, 30, 10, 13, 40, 20, 10, 0)]
+    assert seen.value == 240

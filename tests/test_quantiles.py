@@ -86,3 +86,18 @@ def test_null_keys_meet(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2), ("y", 3)], "k string, n int")
     b = spark.createDataFrame([(None, 10), ("x", 20)], "k string, m int")
     assert sorted(map(tuple, joined_by(a, b, ["k"]).collect()), key=str) == sorted([(None, 1, 10), ("x", 2, 20), ("y", 3, None)], key=str)
+
+
+@pytest.mark.parametrize("most", [1 << 22, 10])
+def test_the_table_is_made_once(spark, most):
+    """However many passes there are, only the first reads the table and what it is made from."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(3000).selectExpr("id % 2 as g", "cast(id as double) as v").mapInArrow(counted, "g long, v double")
+    got = {r["g"]: r["v__q"] for r in group_quantiles(df, ["g"], ["v"], [0.0, 0.5], most=most, kept=20).collect()}
+    assert got == {0: [0.0, 1499.0], 1: [1.0, 1500.0]} and seen.value == 3000
