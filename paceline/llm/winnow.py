@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm._spark import mapper, materialise, slices
+from paceline.llm._spark import mapper, slices
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -62,46 +63,37 @@ def winnow(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return best[new], at[new]
 
 
-def sketch(hashes: np.ndarray, size: int = 64) -> np.ndarray:
-    """The ``size`` least of the chosen hashes, each mixed anew, with its number among equal ones, to 32 bits.
-
-    So repeats count as in a multiset.  Winnowing itself prefers small hashes; their own order would be no fair sample.
-    """
-    h = np.sort(hashes)
-    at = np.arange(len(h), dtype=np.uint64)
-    turn = at - np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[: len(h)], at, 0))
-    mixed = np.sort((_mix(h * np.uint64(_BASE) + turn) >> np.uint64(32)).astype("<u4"))
-    return mixed[np.append(True, mixed[1:] != mixed[:-1])[: len(h)]][:size]
+def fingerprint(hashes: np.ndarray, positions: np.ndarray) -> bytes:
+    """All chosen hashes, their upper 32 bits each, in the order of the text, then the steps from position to position in as many bytes each as the first byte tells."""
+    steps = np.diff(positions, prepend=0)
+    width = 1 if not len(steps) or steps.max() < 256 else 4
+    return bytes([width]) + (hashes >> np.uint64(32)).astype("<u4").tobytes() + steps.astype(f"<u{width}").tobytes()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = 64) -> float:
-    """Jaccard index of two texts' multisets of chosen hashes, from their sketches; two empty ones are alike.
-
-    Exact where both have at most ``size`` hashes; else the share of the ``size`` least of both that both hold, whose
-    standard error is at most ``0.5 / sqrt(size)``.
-    """
-    both = np.sort(np.concatenate([a, b]))
-    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
-    if not len(first):
-        return 1.0
-    end = first[size] if len(first) > size else len(both)
-    least = min(size, len(first))
-    return float((end - least) / least)
+def chosen(print_: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) that a fingerprint holds."""
+    width = print_[0]
+    n = (len(print_) - 1) // (4 + width)
+    return np.frombuffer(print_, "<u4", n, 1), np.cumsum(np.frombuffer(print_, f"<u{width}", n, 1 + 4 * n), dtype=np.int64)
 
 
-def fingerprint(hashes: np.ndarray, positions: np.ndarray, size: int = 64) -> bytes:
-    """64 bits that name the chosen hashes and their positions, then the sketch, 4 bytes a hash, ascending."""
-    name = hashlib.blake2b(hashes.astype("<u8").tobytes() + positions.astype("<u8").tobytes(), digest_size=8).digest()
-    return name + sketch(hashes, size).tobytes()
+def _counted(print_: bytes) -> np.ndarray:
+    """The hashes of a fingerprint, sorted, each with its number among equal ones below it, so that repeats count as in a multiset."""
+    h = np.sort(chosen(print_)[0]).astype(np.uint64)
+    at = np.arange(len(h), dtype=np.uint64)
+    turn = at - np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[: len(h)], at, 0))
+    return h << np.uint64(32) | turn
 
 
-def _sketch_of(print_: bytes) -> np.ndarray:
-    return np.frombuffer(print_, "<u4", offset=8)
+def _likeness(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if len(both) else 1.0
 
 
-def fingerprint_likeness(a: str, b: str, size: int = 64) -> float:
-    """``likeness`` of two fingerprints as ``edit_fingerprints`` returns them."""
-    return likeness(*(_sketch_of(bytes.fromhex(x)) for x in (a, b)), size)
+def fingerprint_likeness(a: str, b: str) -> float:
+    """Jaccard index of the multisets of hashes of two fingerprints as ``edit_fingerprints`` returns them; two empty ones are alike."""
+    return _likeness(*(_counted(bytes.fromhex(x)) for x in (a, b)))
 
 
 def winnow_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 8) -> DataFrame:
@@ -122,62 +114,62 @@ def winnow_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def with_next(docs: DataFrame, visit: Callable[[], Callable], schema: pa.Schema, ddl: str, range_bytes: int = 32 << 20) -> DataFrame:
     """``visit()(row, next row)`` for every row of ``docs`` (doc_id, text) and the next by doc_id, the first after the last.
 
-    Rows are dealt out by ranges of (doc_id, hash of the text, row number), so repeated and null ids, and even
-    repeated rows, spread like any others; there are as many ranges as make ``range_bytes`` of text each, or as fill the cores.  Each task walks its sorted range with two rows
-    at hand and also gives its first and last row; what parts two ranges is then settled between these, so that texts are
-    shuffled once.  Null ids come first; rows of one id follow each other by the hash of their text.
+    Rows are dealt out by ranges of (doc_id, hash of the text), so repeated and null ids spread like any others (rows that repeat both id and
+    text lie in one range); there are as many ranges as make ``range_bytes`` of text each, or as fill the cores.  The ranges are fitted on ids and hashes alone, of which the
+    driver sees the first of each range.  That first row also goes, as a copy, to the end of the range before, so texts are shuffled once and
+    each task walks its sorted range with two rows at hand; nothing is written.  Null ids come first; rows of one id follow each other by the hash of their text.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     # Ranges of about range_bytes, but while these are few, as many as tasks that run at once, of 1 MB or more.
     ranges = max(-(-total // range_bytes), min(spark.sparkContext.defaultParallelism, total >> 20), 1)
-    order = ["doc_id", "tie", "row"]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    edge = [("part", pa.int32()), ("first_id", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())]
-    wide = pa.schema([*schema, *edge])
-
-    def batch(out: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-        full = [(*r, *[None] * len(edge)) for r in out] + [(*[None] * len(schema), *r) for r in edges]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*full), wide)], schema=wide)
+    order = ["doc_id", "tie"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    parts = rows.select(*order).repartitionByRange(ranges, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*order)).alias("first"))
+    place = lambda i, tie: (i is not None, i or 0, tie)
+    firsts = sorted((tuple(r["first"]) for r in parts.select("first").collect()), key=lambda r: place(*r))
+    if not firsts:
+        return spark.createDataFrame([], ddl)
+    bounds = [place(*r) for r in firsts[1:]]
+    ids = np.array([r[1] for r in bounds], np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(i: pd.Series, there: pd.Series, tie: pd.Series) -> pd.Series:
+        own = i.to_numpy(np.int64)
+        # By the id alone, but where it is null or that of a border.
+        nulls = sum(not r[0] for r in bounds)
+        part = nulls + np.searchsorted(ids[nulls:], own, "right")
+        for at in np.flatnonzero(~there.to_numpy(bool) | np.isin(own, ids)):
+            part[at] = bisect.bisect_right(bounds, (bool(there[at]), int(own[at]), int(tie[at])))
+        return pd.Series(part.astype(np.int32))
+
+    head = spark.createDataFrame([((n - 1) % len(firsts), *r) for n, r in enumerate(firsts)], "part int, __id long, __tie long")
+    borders = rows.join(F.broadcast(head), rows["doc_id"].eqNullSafe(head["__id"]) & (rows["tie"] == head["__tie"])).dropDuplicates(["part"])
+    own = rows.withColumn("part", part_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull(), "tie"))
+    both = own.select("part", F.lit(0).alias("side"), *order, "text").union(borders.select("part", F.lit(1), *order, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, first, last = visit(), None, None
-        for part in slices(batches, "text", 8 << 20):
+        work, last = visit(), None
+        for part in slices(batches, "text"):
             out = []
             for row in zip(*(c.to_pylist() for c in part.columns)):
                 if last is not None:
                     out.append(work(last, row))
-                first, last = first or row, row
+                last = row
             if out:
-                yield batch(out, [])
-        if last is not None:
-            yield batch([], [(TaskContext.get().partitionId(), *first, *last)])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = visit()
-        for part in slices(batches, "last_text", 8 << 20):
-            out = [work((a, x), (b, y)) for a, x, b, y in zip(*(c.to_pylist() for c in part.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    table = materialise(rows.mapInArrow(run, f"{ddl}, part int, first_id long, first_text string, last_id long, last_text string"), "next")
-    done, ends = table.where("part is null").select(*schema.names), table.where("part is not null")
-    # Numbers of tasks alone; the first follows the last.
-    order = Window.orderBy("part")
-    after = F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    after = ends.select("part").withColumn("after", after)
-    pairs = ends.select("part", "last_id", "last_text").join(after, "part").join(ends.select(F.col("part").alias("after"), "first_id", "first_text"), "after")
-    return done.union(pairs.select("last_id", "last_text", "first_id", "first_text").mapInArrow(finish, ddl))
-
-
-def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 8, size: int = 64, range_bytes: int = 32 << 20) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    dealt = both.repartitionById(len(firsts), "part").sortWithinPartitions("side", *order).select("doc_id", "text")
+    return dealt.mapInArrow(run, ddl)
+
+
+def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 8, range_bytes: int = 32 << 20) -> DataFrame:
     """Each document's fingerprint beside that of its edited text, whose last quarter comes from the next document.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_selected, guarantee``.  Null texts are empty;
     repeated ids are taken in order of the hash of their texts; a null id comes first; a single row is its own next; an empty table gives no rows;
-    other columns are left out.  A fingerprint is hex of 8 bytes that name all chosen hashes with their positions, and of a sketch of
-    the ``size`` least hashes; near_* are computed from the sketches alone, so ``fingerprint_likeness`` gives them, and that of any other
-    two documents, from the strings.  ``winnow_documents`` returns all hashes and positions.
+    other columns are left out.  A fingerprint is hex of all chosen hashes with their positions (``chosen``), and near_* are the likeness of these
+    hashes, so ``fingerprint_likeness`` gives them, and that of any other two documents, from the strings.
     """
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary())]
@@ -189,7 +181,8 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         def prints(text):
             hashes, positions = winnow(text, k, w)
-            return fingerprint(hashes, positions, size), len(hashes)
+            own = fingerprint(hashes, positions)
+            return own, len(hashes), _counted(own)
 
         def work(row, after):
             own = kept["own"] if kept["row"] is row else prints(row[1])
@@ -198,7 +191,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             changed = own if edited == text else prints(edited)
             kept["own"] = following = own if after[1] == text else prints(after[1])
             kept["row"] = after
-            near = [likeness(_sketch_of(own[0]), _sketch_of(other[0]), size) for other in (changed, following)]
+            near = [_likeness(own[2], other[2]) for other in (changed, following)]
             return (row[0], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own[0], changed[0], *near, own[1], k + w - 1)
 
         return work

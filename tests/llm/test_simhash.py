@@ -156,6 +156,21 @@ def test_likeness_from_the_returned_strings(spark):
     assert got[30]["fingerprint"] == got[31]["fingerprint"] and got[30]["near_next"] == 1 and got[0]["near_edited"] > 0.3 > got[0]["near_next"]
 
 
+def test_fingerprints_hold_all_chosen_hashes(spark):
+    """Hashes and positions of long texts come back from the string, and near_* are the exact index of the whole multisets."""
+    rng = random.Random(8)
+    word = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(word) for _ in range(400 * i))) for i in range(5)]
+    got = winnow.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), range_bytes=4000).orderBy("doc_id").collect()
+    for r, (_, own), (_, other) in zip(got, rows, rows[1:] + rows[:1]):
+        hashes, positions = winnow.chosen(bytes.fromhex(r["fingerprint"]))
+        assert list(zip(hashes.tolist(), positions.tolist())) == [(h >> 32, p) for h, p in plain_winnow(own, 8, 8)]
+        edited = own[: len(own) - len(own) // 4] + other[: len(own) // 4]
+        assert r["near_edited"] == pytest.approx(plain_likeness(own, edited), abs=1e-9) and r["near_next"] == pytest.approx(plain_likeness(own, other), abs=1e-9)
+    wide = winnow.winnow(rows[4][1], 8, 900)
+    assert winnow.chosen(winnow.fingerprint(*wide))[1].tolist() == wide[1].tolist()
+
+
 def test_edit_fingerprints_of_few_and_long_texts(spark):
     docs = spark.createDataFrame([(3, "x"), (4, "ab c" * 60_000)], "doc_id long, text string")
     assert winnow.edit_fingerprints(docs.where("doc_id = 3")).first()["near_next"] == 1
