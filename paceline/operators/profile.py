@@ -45,6 +45,7 @@ def describe_numeric(df: DataFrame) -> DataFrame:
     """Count, mean, deviation, least, five exact quantiles and greatest of each numeric column; a column of nulls has count 0."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     shares = [0.05, 0.25, 0.5, 0.75, 0.95]
+    df = written(df.select(*names), "numbers")  # the sums and the passes of the quantiles read these
     wide = df.agg(*(x for c in names for x in (
         F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"avg_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.min(F.col(c).cast("double")).alias(f"min_{c}"), F.max(F.col(c).cast("double")).alias(f"max_{c}"),
     )))
@@ -52,7 +53,7 @@ def describe_numeric(df: DataFrame) -> DataFrame:
         c: [F.col(f"n_{c}").alias("count"), F.col(f"avg_{c}").alias("mean"), F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max")]
         for c in names
     })
-    found = group_quantiles(df, [], names, shares).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}__q").alias("q")) for c in names))))
+    found = group_quantiles(df, [], names, shares, stored=True).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}__q").alias("q")) for c in names))))
     told = told.join(F.broadcast(found), "column", "left")
     return told.select("column", "count", "mean", "std", "min", *(F.col("q")[i].alias(f"p{round(100 * s):02d}") for i, s in enumerate(shares)), "max")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paceline.operators import quantiles
 from paceline.operators.quantiles import group_quantiles, joined_by
 
 SHARES = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
@@ -101,3 +102,20 @@ def test_the_table_is_made_once(spark, most):
     df = spark.range(3000).selectExpr("id % 2 as g", "cast(id as double) as v").mapInArrow(counted, "g long, v double")
     got = {r["g"]: r["v__q"] for r in group_quantiles(df, ["g"], ["v"], [0.0, 0.5], most=most, kept=20).collect()}
     assert got == {0: [0.0, 1499.0], 1: [1.0, 1500.0]} and seen.value == 3000
+
+
+def test_passes_do_not_grow_with_the_group(spark, monkeypatch):
+    """Rows, sketches, brackets, counts, result: each written once, however few values a group may keep."""
+    calls, own = [], quantiles.written
+    monkeypatch.setattr(quantiles, "written", lambda df, purpose: calls.append(purpose) or own(df, purpose))
+    df = spark.range(200_000).select(F.lit(1).alias("g"), F.pmod(F.col("id") * 7919, F.lit(200_003)).cast("double").alias("v"))
+    got = group_quantiles(df, ["g"], ["v"], [0.05, 0.5], most=10, kept=20).first()["v__q"]
+    values = np.arange(200_000) * 7919 % 200_003
+    assert got == pytest.approx(np.quantile(values, [0.05, 0.5]).tolist(), rel=1e-12) and len(calls) == 5
+
+
+def test_brackets_that_miss_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "ERRORS", (0.0, 0.0, 1.0))
+    monkeypatch.setattr(quantiles, "WIDTH", 8)
+    rows = [r for r in made(4, 1500) if r[2] != float("inf")]
+    check(spark.createDataFrame(rows, SCHEMA).repartition(4), rows, most=10, kept=3)

@@ -163,3 +163,16 @@ def test_large_sessions_are_written_by_several_tasks(spark, tmp_path):
     assert sorted(r["LapTime_s"] for r in back.collect()) == [float(k) for k in range(500)]
     files = [str(f) for f in (tmp_path / "laps").rglob("*.parquet")]
     assert sum("RoundNumber=1/" in f for f in files) > 1 and sum("RoundNumber=2/" in f for f in files) == 1
+
+
+def test_describe_reads_its_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(1001).selectExpr("cast(id as double) as v", "'x' as name").mapInArrow(counted, "v double, name string")
+    (row,) = profile.describe_numeric(df).collect()
+    assert row["count"] == 1001 and (row["min"], row["p50"], row["max"]) == (0.0, 500.0, 1000.0) and seen.value == 1001
