@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paceline.operators.filters import with_lap_times
 from paceline.operators.quantiles import group_quantiles
 from paceline.session import grouped, keys_present, over_keys, session_keys
+from paceline.sources.scratch import written
 
 SPEEDS = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
 
@@ -38,11 +39,12 @@ def fill_compound(df: DataFrame) -> DataFrame:
     return df.withColumn("Compound", F.coalesce("Compound", mode))
 
 
-def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, ...] = ("Driver", "EventName"), approx: bool = False) -> DataFrame:
+def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, ...] = ("Driver", "EventName"), approx: bool = False, store: bool = False) -> DataFrame:
     """Group medians, then the session's median of the column so filled.  Without the group columns the second step is the only one.
 
     The first is a window, which needs no exchange where rows lie by session and driver; the second is an aggregate
-    joined back, so no task has to hold a session.
+    joined back, so no task has to hold a session.  With ``store`` the rows are written once between them, so that
+    what they are made from is not run for the aggregate and once more for the rows.
     """
     columns = [c for c in columns if c in df.columns]
     median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
@@ -53,14 +55,15 @@ def fill_speeds(df: DataFrame, columns: list[str] = SPEEDS, groups: tuple[str, .
     if approx:
         outer = df.groupBy(*outer_keys).agg(*(median(c).alias(f"__s_{c}") for c in columns))
     else:
-        outer = group_quantiles(df, outer_keys, columns, [0.5]).select(*outer_keys, *(F.col(f"{c}__q")[0].alias(f"__s_{c}") for c in columns))
+        df = written(df, "filled-by-group") if store else df
+        outer = group_quantiles(df, outer_keys, columns, [0.5], stored=store).select(*outer_keys, *(F.col(f"{c}__q")[0].alias(f"__s_{c}") for c in columns))
     joined = df.join(outer, outer_keys, "left") if outer_keys else df.join(F.broadcast(outer))
     return joined.withColumns({c: F.coalesce(c, f"__s_{c}") for c in columns}).select(*df.columns)
 
 
-def impute(df: DataFrame) -> DataFrame:
-    """Rows with a lap time, filled: stint, tyre life, compound, speeds."""
-    return fill_speeds(fill_compound(fill_tyre_life(fill_stint(with_lap_times(df)))))
+def impute(df: DataFrame, store: bool = False) -> DataFrame:
+    """Rows with a lap time, filled: stint, tyre life, compound, speeds; ``store`` as in ``fill_speeds``."""
+    return fill_speeds(fill_compound(fill_tyre_life(fill_stint(with_lap_times(df)))), store=store)
 
 
 def impute_report(df: DataFrame) -> DataFrame:

@@ -15,12 +15,12 @@ def run_cleaning(raw: DataFrame) -> DataFrame:
     """Raw laps to clean laps: seconds, names, filters, fills.
 
     The rows are dealt out by session and driver once; all windows of the filters and fills keep to that.  What is left of the
-    session is a median of each speed, an aggregate joined back.
+    session is a median of each speed, an aggregate joined back; the rows are written before it, so that filters and fills run once.
     """
     laps = scalar.standard_teams(scalar.standard_drivers(scalar.times_to_seconds(raw)))
     if keys := [*session_keys(laps), *(["Driver"] if "Driver" in laps.columns else [])]:
         laps = laps.repartition(*keys)
-    return impute.impute(filters.apply_filters(laps))
+    return impute.impute(filters.apply_filters(laps), store=True)
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:

@@ -363,7 +363,7 @@ def d3_fill_compound(s, d):
 
 @query(sql("filled", f"select event_id, Stint, TyreLife, Compound, {q6('SpeedI1', 'SpeedI2', 'SpeedFL', 'SpeedST')} from filled"))
 def d4_d5_impute_all(s, d):
-    return impute.impute(A.laps(s, d)).select("event_id", "Stint", "TyreLife", "Compound", *r6("SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"))
+    return impute.impute(A.laps(s, d), store=True).select("event_id", "Stint", "TyreLife", "Compound", *r6("SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"))
 
 
 _F = ["Stint", "TyreLife", "Compound", "SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: str | None = None
 
@@ -29,5 +31,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written once and read back: it outlives any executor and cuts the plan."""
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    untyped = [c for c, t in df.dtypes if t == "void"]  # Parquet has no such column
+    df.withColumns({c: F.lit(None).cast("string") for c in untyped}).write.parquet(path)
+    back = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in untyped else f for f in df.schema])).parquet(path)
+    return back.withColumns({c: F.lit(None) for c in untyped})

@@ -1,6 +1,7 @@
 """Names, times, filters and fills on small frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from paceline.functions import scalar
 from paceline.operators import filters, impute, validate
@@ -135,3 +136,16 @@ def test_report_fills_once(spark):
     got = impute.impute_report(rows.mapInArrow(counted, rows.schema)).collect()
     assert [tuple(r) for r in got] == [(2024, 1, "R", 90, 30, 10, 13, 40, 20, 10, 0)]
     assert seen.value == 240
+
+
+def test_speeds_are_read_once(spark, laps):
+    """The session's medians and the rows read what is written, not each anew what the rows are made from."""
+    n, seen = laps.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    out = impute.fill_speeds(laps.mapInArrow(counted, laps.schema).withColumn("untyped", F.lit(None)), store=True)
+    assert out.count() == n == seen.value and dict(out.dtypes)["untyped"] == "void"
