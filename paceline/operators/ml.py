@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from paceline.functions.scalar import ordered_bounds
 from paceline.operators.quantiles import group_quantiles
@@ -37,10 +39,10 @@ HELD_OUT = "__held_out"
 def boosted(names: list[str], rounds: int = 500, depth: int = 6, step: float = 0.05, sample: float = 0.8, weight: str | None = None, target: str = TARGET, seed: int = 42, tol: float = 0.001, bins: int = 256, leaf: int = 20, stops: bool = False) -> Pipeline:
     """Gradient-boosted trees of ``rounds``; with ``stops`` fewer, until a round lowers the error on rows flagged by ``HELD_OUT`` by less than ``tol`` of it.
 
-    Rows keep the tree node that they have reached, and lineage is cut every ten rounds where the session has a checkpoint folder, so late
-    rounds cost as much as early ones.  ``fit_boosted`` flags the rows.
+    Lineage is cut every ten rounds where the session has a checkpoint folder, so late rounds cost as much as early ones.  Trees are so flat that
+    a row's node is found anew sooner than it is kept: node ids are a cached table more for each level.  ``fit_boosted`` flags the rows.
     """
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, seed=seed, maxBins=bins, minInstancesPerNode=leaf, cacheNodeIds=True, checkpointInterval=10, validationTol=tol)
+    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample, seed=seed, maxBins=bins, minInstancesPerNode=leaf, checkpointInterval=10, validationTol=tol)
     if stops:
         model = model.setValidationIndicatorCol(HELD_OUT)
     if weight:
@@ -133,26 +135,34 @@ def mean_error(df: DataFrame, prediction: str, target: str = TARGET) -> float:
     return df.agg(F.avg(F.abs(F.col(target) - F.col(prediction)))).first()[0]
 
 
-def searched(df: DataFrame, names: list[str], order: list[str], candidates: list[dict] | None = None, k: int = 3, rungs: int = 3, keep: float = 0.5, target: str = TARGET, **options) -> tuple[dict, DataFrame]:
+def searched(df: DataFrame, names: list[str], order: list[str], candidates: list[dict] | None = None, k: int = 3, rungs: int = 3, keep: float = 0.5, target: str = TARGET, parallelism: int = 3, **options) -> tuple[dict, DataFrame]:
     """Successive halving over settings of ``boosted``: (the winner, a table ``rung, share, candidate, setting, fold, rounds, mae, kept``).
 
     All candidates are fitted on a part of the training rows of each of ``k`` unshuffled folds, written once; the better share ``keep`` goes on to
     twice as many rows, and the last rung takes all.  Errors are of the fold left out, whole at every rung; ties go to the candidate named first.
+    ``parallelism`` fits run at once, each with its own cached rows.
     """
     candidates = candidates or [{"depth": d, "step": s, "sample": x} for d in (3, 5) for s in (0.05, 0.1) for x in (0.8, 1.0)]
     rows = folds(df, order, k).withColumn("__deal", F.pmod(F.xxhash64(*names, target, *order), F.lit(1 << 20)))
-    rows = held_out(rows, names, target=target)
+    # Every fit reads the rows some times; folds and flags are written, not made anew for each.
+    rows = written(held_out(rows, names, target=target), "search")
+
+    def fitted(part: DataFrame, c: int, fold: int) -> tuple[int, float]:
+        model = fit_boosted(part.where(F.col("fold") != fold), names, target, **{**options, **candidates[c]})
+        return chosen_rounds(model), mean_error(scored(model, rows.where(F.col("fold") == fold), "__p"), "__p", target)
+
     live, told = list(range(len(candidates))), []
     for rung in range(rungs):
         share = 0.5 ** (rungs - 1 - rung) if len(live) > 1 else 1.0
         part = rows.where(F.col("__deal") < F.lit(int(share * (1 << 20))))
         error: dict[int, list[float]] = {}
-        for c in live:
-            for fold in range(k):
-                model = fit_boosted(part.where(F.col("fold") != fold), names, target, **{**options, **candidates[c]})
-                mae = mean_error(scored(model, rows.where(F.col("fold") == fold), "__p"), "__p", target)
-                error.setdefault(c, []).append(mae)
-                told.append([rung, share, c, str(candidates[c]), fold, chosen_rounds(model), mae])
+        fits = [(c, fold) for c in live for fold in range(k)]
+        # As in Spark's CrossValidator: the many short jobs of a fit leave cores idle that others use.
+        with ThreadPool(parallelism) as pool:
+            results = pool.map(inheritable_thread_target(df.sparkSession)(lambda fit, part=part: fitted(part, *fit)), fits, chunksize=1)
+        for (c, fold), (rounds, mae) in zip(fits, results):
+            error.setdefault(c, []).append(mae)
+            told.append([rung, share, c, str(candidates[c]), fold, rounds, mae])
         live = sorted(live, key=lambda c: (sum(error[c]), c))[: max(1, math.ceil(len(live) * keep)) if rung < rungs - 1 else 1]
         told = [[*t, t[2] in live] if len(t) == 7 else t for t in told]
         if share == 1.0:

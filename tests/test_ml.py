@@ -112,6 +112,17 @@ def test_search_finds_the_winner_of_the_whole_grid_with_fewer_rows(smooth):
     assert min(errors, key=lambda c: sum(errors[c])) == 1
 
 
+def test_fits_of_a_search_at_once_give_what_they_give_in_turn(smooth, monkeypatch):
+    """The rows with folds and flags are written once for all fits."""
+    calls, own = [], ml.written
+    monkeypatch.setattr(ml, "written", lambda df, purpose: calls.append(purpose) or own(df, purpose))
+    train, grid = smooth[0].where("event_id < 300"), [{"depth": 1, "step": 0.05}, {"depth": 2, "step": 0.3}]
+    one, many = (ml.searched(train, ["a", "b"], ["event_id"], grid, k=2, rungs=1, rounds=3, parallelism=n) for n in (1, 4))
+    assert one[0] == many[0] and one[1].collect() == many[1].collect()
+    assert calls == ["numbered", "search"] * 2
+    assert not ml.boosted(["a", "b"]).getStages()[-1].getCacheNodeIds()
+
+
 def test_quantile_line_of_two_groups(spark):
     # With one 0/1 feature the line takes the quantile of either group.
     rng = np.random.default_rng(5)
