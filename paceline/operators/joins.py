@@ -64,8 +64,8 @@ def add_track(df: DataFrame, tracks: DataFrame) -> DataFrame:
 def add_points(laps: DataFrame, results: DataFrame) -> DataFrame:
     """Championship points of the driver and the team before the round: sums over earlier rounds of the season.
 
-    Results become one row for each season and name, with an array of its rounds' points (a season has some dozens of
-    rounds), so that each lap needs one lookup in a small table and the laps are read once.
+    Results become one row for each season, name and round, with the points so far and the next round (a season has some dozens of
+    rounds), so that each lap meets at most one row of a small table and the laps are read once.
     """
     name = lambda df, *options: next((c for c in options if c in df.columns), None)
     out = laps
@@ -76,11 +76,10 @@ def add_points(laps: DataFrame, results: DataFrame) -> DataFrame:
             out = out.withColumn(target, F.lit(0.0).cast("float"))
             continue
         by_round = points.where(F.col(theirs).isNotNull()).groupBy(F.col("Season").alias("__season"), F.col(theirs).alias("__key"), F.col("RoundNumber").alias("round")).agg(F.sum("Points").alias("p"))
-        earned = by_round.groupBy("__season", "__key").agg(F.collect_list(F.struct("round", "p")).alias("__earned"))
-        joined = out.join(earned, (out["Season"] == F.col("__season")) & (out[own] == F.col("__key")), "left")
-        before = F.filter("__earned", lambda x: x["round"] < F.col("RoundNumber"))
-        total = F.aggregate(before, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["p"], F.lit(0.0)))
-        out = joined.withColumn(target, F.coalesce(total, F.lit(0.0)).cast("float")).drop("__season", "__key", "__earned")
+        seasons = Window.partitionBy("__season", "__key").orderBy("round")
+        earned = by_round.where("__season is not null and round is not null").select("__season", "__key", F.col("round").alias("__from"), F.lead("round").over(seasons).alias("__to"), F.sum("p").over(seasons).alias("__earned"))
+        meets = (out["Season"] == F.col("__season")) & (out[own] == F.col("__key")) & (out["RoundNumber"] > F.col("__from")) & (F.col("__to").isNull() | (out["RoundNumber"] <= F.col("__to")))
+        out = out.join(earned, meets, "left").withColumn(target, F.coalesce("__earned", F.lit(0.0)).cast("float")).drop("__season", "__key", "__from", "__to", "__earned")
     return out
 
 

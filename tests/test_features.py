@@ -114,3 +114,14 @@ def test_models(spark):
     assert {r["fold"] for r in ml.folds(df, ["i"], 4).collect()} == {0, 1, 2, 3}
     band = ml.quantile_band(out.withColumn("g", out["a"]), out.withColumn("g", out["a"]), "p", "g")
     assert band.where("p_p05 <= p_p50 and p_p50 <= p_p95").count() == 80
+
+
+def test_points_by_a_join_of_rounds(spark):
+    """Rounds without results, null rounds, names and points; no array is walked for each lap."""
+    results = spark.createDataFrame([(2024, 1, "A", 25.0), (2024, 3, "A", 18.0), (2024, 4, "A", None), (2024, None, "A", 9.0), (2024, 3, "B", 1.0), (2024, 3, "B", 2.0), (2023, 1, "A", 7.0), (2024, 1, None, 5.0)], "Season int, RoundNumber int, Abbreviation string, Points double")
+    laps = spark.createDataFrame([(2024, r, d) for r in (1, 2, 3, 4, 9, None) for d in ("A", "B", None)] * 2, "Season int, RoundNumber int, Driver string")
+    out = joins.add_points(laps, results)
+    got = {(r["RoundNumber"], r["Driver"]): r["DriverPointsPreRace"] for r in out.collect()}
+    want = {2: (25.0, 0.0), 3: (25.0, 0.0), 4: (43.0, 3.0), 9: (43.0, 3.0)}
+    assert out.count() == 36 and got == {(r, d): want.get(r, (0.0, 0.0))["AB".index(d)] if d else 0.0 for r, d in got}
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
