@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from paceline import adapters
+from paceline import adapters, queries
 from paceline.plans import pipelines
 
 
@@ -46,3 +46,11 @@ def test_projection_and_filter_reach_the_scan(spark, sf_dir):
     df = adapters.table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,40" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity" in plan
+
+
+def test_compound_fill_is_linear_and_moves_rows_once(spark, sf_dir):
+    """No frame from the row to the end of its group, which Spark walks anew for each row; one exchange of the laps."""
+    df = queries.d3_fill_compound(spark, sf_dir)
+    frames = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing$" in frames and "currentrow$(), unboundedfollowing$()" not in frames
+    assert len(exchanges(df)[0]) == 1
