@@ -361,12 +361,14 @@ def d3_fill_compound(s, d):
     return impute.fill_compound(impute.fill_tyre_life(impute.fill_stint(filters.with_lap_times(A.laps(s, d))))).select("event_id", "Compound")
 
 
-@query(sql("filled", f"select event_id, Stint, TyreLife, Compound, {q6('SpeedI1', 'SpeedI2', 'SpeedFL', 'SpeedST')} from filled"))
-def d4_d5_impute_all(s, d):
-    return impute.impute(A.laps(s, d), store=True).select("event_id", "Stint", "TyreLife", "Compound", *r6("SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"))
+_F = ["Stint", "TyreLife", "Compound", "SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
 
 
-_F = ["Stint", "TyreLife", "Compound", "SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
+@query(sql("filled", f"select event_id, Stint, TyreLife, Compound, {q6('SpeedI1', 'SpeedI2', 'SpeedFL', 'SpeedST')} from filled"))
+def d4_d5_impute_all(s, d):
+    # What is written takes no column that neither fills nor result need; a lap's position alone costs two exchanges.
+    laps = A.laps(s, d).select("event_id", *K4, "EventName", "LapNumber", "LapTime_s", *_F)
+    return impute.impute(laps, store=True).select("event_id", "Stint", "TyreLife", "Compound", *r6("SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"))
 
 
 @query(sql("filled", f""", b as (select {S3}, {', '.join(f'count(*) filter ({c} is null) as b_{c}' for c in _F)} from laps where LapTime_s is not null group by all),

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from paceline import adapters, queries
+from paceline.operators import impute
 from paceline.plans import pipelines
 
 
@@ -54,3 +55,11 @@ def test_compound_fill_is_linear_and_moves_rows_once(spark, sf_dir):
     frames = df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "unboundedfollowing$" in frames and "currentrow$(), unboundedfollowing$()" not in frames
     assert len(exchanges(df)[0]) == 1
+
+
+def test_impute_all_writes_what_it_needs_after_one_exchange(spark, sf_dir, monkeypatch):
+    """A column that neither fills nor result need is not made in order to be written."""
+    kept, write = [], impute.written
+    monkeypatch.setattr(impute, "written", lambda df, purpose: kept.append(df) or write(df, purpose))
+    queries.d4_d5_impute_all(spark, sf_dir)
+    assert len(kept) == 1 and len(exchanges(kept[0])[0]) == 1 and "Position" not in kept[0].columns
