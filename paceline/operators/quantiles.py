@@ -33,10 +33,11 @@ def group_quantiles(df: DataFrame, groups: list[str], values: list[str], shares:
     if not groups and not size["groups"]:
         return rows.agg(*(F.percentile(f"__v{i}", F.array(*map(F.lit, shares))).alias(f"{v}__q") for i, v in enumerate(values)))
     if (size["n"] or 0) * len(values) * min(size["groups"], 128) <= most:
-        found = rows.groupBy("__g").agg(*(F.percentile(f"__v{i}", F.array(*map(F.lit, shares))).alias(f"{v}__q") for i, v in enumerate(values)))
-    else:
-        few = size["groups"] * len(values) * len(shares) <= 1 << 18
-        found = _refined(rows, len(values), shares, kept, few).select("__g", *(F.col(f"q{i}").alias(f"{v}__q") for i, v in enumerate(values)))
+        # Here the keys are columns under their own names again.
+        flat = rows.select(*(F.col("__g").getField(g).alias(g) for g in groups), *(f"__v{i}" for i in range(len(values))))
+        return flat.groupBy(*groups).agg(*(F.percentile(f"__v{i}", F.array(*map(F.lit, shares))).alias(f"{v}__q") for i, v in enumerate(values)))
+    few = size["groups"] * len(values) * len(shares) <= 1 << 18
+    found = _refined(rows, len(values), shares, kept, few).select("__g", *(F.col(f"q{i}").alias(f"{v}__q") for i, v in enumerate(values)))
     return found.select(*(F.col("__g").getField(g).alias(g) for g in groups), *(f"{v}__q" for v in values))
 
 

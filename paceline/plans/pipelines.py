@@ -11,16 +11,16 @@ from paceline.session import SESSION, session_keys
 from paceline.sources.scratch import written
 
 
-def run_cleaning(raw: DataFrame) -> DataFrame:
+def run_cleaning(raw: DataFrame, store: bool = False) -> DataFrame:
     """Raw laps to clean laps: seconds, names, filters, fills.
 
     The rows are dealt out by session and driver once; all windows of the filters and fills keep to that.  What is left of the
-    session is a median of each speed, an aggregate joined back; the rows are written before it, so that filters and fills run once.
+    session is a median of each speed, an aggregate joined back; with ``store`` the rows are written before it, so that filters and fills run once.
     """
     laps = scalar.standard_teams(scalar.standard_drivers(scalar.times_to_seconds(raw)))
     if keys := [*session_keys(laps), *(["Driver"] if "Driver" in laps.columns else [])]:
         laps = laps.repartition(*keys)
-    return impute.impute(filters.apply_filters(laps), store=True)
+    return impute.impute(filters.apply_filters(laps), store=store)
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def clean_features(raw: DataFrame, weather: DataFrame, results: DataFrame, **opt
     Features read the clean laps three times, twice for a few columns.  They are written once, so that cleaning, which
     shuffles whole rows, is not run for each.
     """
-    return run_features(written(run_cleaning(raw), "clean-laps"), weather, results, **options)
+    return run_features(written(run_cleaning(raw, store=True), "clean-laps"), weather, results, **options)
 
 
 def ingest(raw: DataFrame, rounds: list[int] | None = None, rules: list[validate.Rule] = validate.LAPS) -> tuple[DataFrame, DataFrame]:

@@ -840,7 +840,7 @@ _SPEEDS = ["SpeedI1", "SpeedI2", "SpeedFL", "SpeedST"]
 
 @query(sql("clean", f"select * exclude (Time) replace ({q6(*_SPEEDS)}) from clean"))
 def l1_run_cleaning(s, d):
-    return pipelines.run_cleaning(A.laps(s, d)).drop("Time").withColumns(dict(zip(_SPEEDS, r6(*_SPEEDS))))
+    return pipelines.run_cleaning(A.laps(s, d), store=True).drop("Time").withColumns(dict(zip(_SPEEDS, r6(*_SPEEDS))))
 
 
 def _over_clean(name: str, needs: str = "laps") -> str:
